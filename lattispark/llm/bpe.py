@@ -27,6 +27,8 @@ from .common import CACHE, PIECE, arrow_stage, documents, narrow
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 #: White space as the rank files' library has it: Unicode's White_Space, without U+001C to U+001F.
 SPACE = r"\t-\r\x20\x85\xa0  -     　"
+#: White space before a space: the pattern may not cut there.
+DOUBLE = regex.compile(f"[{SPACE}] ")
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -109,23 +111,29 @@ class Encoder:
             self.tied.add_word("".join(map(table.__getitem__, tie)), True)
         self.tied.make_automaton()
         self.pattern = regex.compile(pattern.replace(r"[^\s", f"[^{SPACE}").replace(r"\S", f"[^{SPACE}]").replace(r"\s", f"[{SPACE}]"))
+        self.single = {token.decode(): struct.pack("<I", rank) for token, rank in self.ranks.items() if _is_text(token)}
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+
+    def _piece(self, piece: str) -> bytes:
+        if (packed := self.single.get(piece)) is not None:
+            return packed
+        raw = piece.encode()
+        mapped = raw.decode("latin-1").translate(self.table)
+        if next(self.tied.iter(mapped), None) is None:
+            ids = [token.id for token in self.model.tokenize(mapped)]
+        else:
+            ids = merge_by_rank(raw, self.ranks)
+        return struct.pack(f"<{len(ids)}I", *ids)
 
-    def _learn(self, pieces: list[str]) -> None:
+    def _learn(self, words: list[str]) -> None:
+        """Encode a space and the word, for words that the cache lacks. What it held last stays
+        at hand for one more life."""
         if len(self.known) > CACHE:
-            self.known.clear()
-        known, ranks, table, tokenize, tied = self.known, self.ranks, self.table, self.model.tokenize, self.tied.iter
-        for piece in set(pieces).difference(known):
-            raw = piece.encode()
-            if (rank := ranks.get(raw)) is not None:
-                ids = [rank]
-            else:
-                mapped = raw.decode("latin-1").translate(table)
-                if next(tied(mapped), None) is None:
-                    ids = [token.id for token in tokenize(mapped)]
-                else:
-                    ids = merge_by_rank(raw, ranks)
-            known[piece] = struct.pack(f"<{len(ids)}I", *ids)
+            self.known, self.older = {}, self.known
+        known, older, find, piece = self.known, self.older, self.pattern.findall, self._piece
+        for word in set(words).difference(known):
+            known[word] = older.get(word) or b"".join(map(piece, find(" " + word)))
 
     def pieces(self, text: str):
         if len(text) <= PIECE:
@@ -137,14 +145,24 @@ class Encoder:
 
     def __call__(self, text: str | None) -> bytes:
         """The ids, as little-endian unsigned 32-bit integers."""
-        out = []
-        for pieces in self.pieces(text or ""):
-            try:
-                out.append(b"".join(map(self.known.__getitem__, pieces)))
-            except KeyError:
-                self._learn(pieces)
-                out.append(b"".join(map(self.known.__getitem__, pieces)))
-        return b"".join(out)
+        if not text:
+            return b""
+        if len(text) > PIECE or DOUBLE.search(text):
+            return b"".join(self._piece(p) for pieces in self.pieces(text) for p in pieces)
+        first, *words = text.split(" ")  # the pattern cuts before a space that follows no space
+        try:
+            rest = b"".join(map(self.known.__getitem__, words))
+        except KeyError:
+            self._learn(words)
+            rest = b"".join(map(self.known.__getitem__, words))
+        return b"".join(map(self._piece, self.pattern.findall(first))) + rest
+
+
+def _is_text(token: bytes) -> bool:
+    try:
+        return bool(token.decode())
+    except UnicodeDecodeError:
+        return False
 
 
 def offsets(ids: np.ndarray, lengths: np.ndarray, text: str) -> tuple[np.ndarray, np.ndarray]:
