@@ -1,8 +1,18 @@
 """Queries of the text operators and the DuckDB SQL of those that SQL can express."""
 
-from . import bpe
+from . import bpe, fingerprint, mix, quality, rules, secrets, toxicity, warc
 
 QUERIES = {
     "op1_byte_bpe": bpe.op1_byte_bpe,
+    "op2_mix_sources": mix.op2_mix_sources,
+    "op3_quality_rules": rules.op3_quality_rules,
+    "op4_secret_scan": secrets.op4_secret_scan,
+    "op6_quality": quality.op6_quality,
+    "op7_toxicity": toxicity.op7_toxicity,
+    "op9_warc": warc.op9_warc,
+    "op10_fingerprints": fingerprint.op10_fingerprints,
+}
+ORACLES = {
+    "op3_quality_rules": rules.OP3_SQL,
+    "op9_warc": warc.OP9_SQL,
 }
-ORACLES: dict[str, str] = {}
