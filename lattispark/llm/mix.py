@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import WORD_SQL, documents, narrow, table
+from .common import WORD_SQL, documents, table
 
 WEIGHTS = (5, 2, 1)
 SHARE, MOST = 1.5, 2.0
@@ -31,9 +31,10 @@ def _random(*parts: Column) -> Column:
     return F.shiftrightunsigned(F.xxhash64(*parts), 11).cast("double") / float(1 << 53)
 
 
-def sized(df: DataFrame, key: str = "doc_id", source: str = "source", text: str = "text") -> DataFrame:
-    """key, source and size: the number of words, 0 for null."""
-    return df.select(F.col(key).alias("doc_id"), F.col(source).alias("source"), F.coalesce(F.regexp_count(F.col(text), F.lit(WORD_SQL)), F.lit(0)).cast("long").alias("size"))
+def sized(df: DataFrame, key: str = "doc_id", source: str = "source", text: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, source and size: the number of words, 0 for null; and columns to carry along."""
+    size = F.coalesce(F.regexp_count(F.col(text), F.lit(WORD_SQL)), F.lit(0)).cast("long")
+    return df.select(F.col(key).alias("doc_id"), F.col(source).alias("source"), size.alias("size"), *carry)
 
 
 def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: float = MOST) -> DataFrame:
@@ -148,7 +149,7 @@ def mixed(sizes: DataFrame, block: int = BLOCK, depth: int = DEPTH, seed: int =
     through its source, with the slice's place in the shard's order; taken is their sum. With
     whole, documents aren't cut: a turn takes all of a document where its first word is taken.
     Rows of a source are ranked in BUCKETS parts by hash, so that no task ranks a whole source.
-    Equal rows may change places with each other. A null source is a source like any other.
+    Equal rows may change places with each other. Columns carried by sizes stay. A null source is a source like any other.
     """
     rows = sizes.withColumn("h", F.xxhash64(F.lit(seed), "doc_id", "size")).withColumn("bucket", F.pmod(F.shiftright("h", 20), F.lit(BUCKETS)).cast("int"))
     rows = table(rows, "sizes")  # read for the sums and for the ranks
@@ -160,7 +161,7 @@ def mixed(sizes: DataFrame, block: int = BLOCK, depth: int = DEPTH, seed: int =
     within = Window.partitionBy("name", "bucket").orderBy("h", F.col("doc_id").asc_nulls_first(), "size").rowsBetween(Window.unboundedPreceding, -1)
     ranked = rows.withColumn("name", named).join(runs.select(named.alias("name"), "bucket", "base"), ["name", "bucket"])
     ranked = ranked.withColumn("start", F.col("base") + F.coalesce(F.sum("size").over(within), F.lit(0)))
-    goal = table(plan(sizes, block, depth, seed), "plan").select(named.alias("name"), "source_size", "target", "ends")
+    goal = table(plan(rows.select("source", "size"), block, depth, seed), "plan").select(named.alias("name"), "source_size", "target", "ends")
     few = goal.count() <= BROADCAST_SOURCES
     joined = ranked.join(F.broadcast(goal) if few else goal, "name")
     begins = F.concat(F.array(F.lit(0).cast("long")), F.slice("ends", 1, F.greatest(F.size("ends") - 1, F.lit(0))))
@@ -183,9 +184,9 @@ def mixed(sizes: DataFrame, block: int = BLOCK, depth: int = DEPTH, seed: int =
     cuts = F.when(F.col("size") > 0, F.flatten(F.transform(turns, cut))).otherwise(F.expr(f"cast(array() as {SLICE})"))
     out = joined.withColumn("spans", spans).withColumn("slices", cuts)
     taken = F.aggregate("slices", F.lit(0).cast("long"), lambda a, x: a + x["last"] - x["first"])
-    return out.select("doc_id", "source", "size", "source_size", "target", "slices", taken.alias("taken"))
+    carried = [c for c in sizes.columns if c not in ("doc_id", "source", "size")]
+    return out.select("doc_id", "source", "size", "source_size", "target", "slices", taken.alias("taken"), *carried)
 
 
 def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    sizes = table(sized(documents(spark, sf_dir)), "sized")
-    return mixed(sizes).select("doc_id", "size", "source_size", "target", "taken")
+    return mixed(sized(documents(spark, sf_dir))).select("doc_id", "size", "source_size", "target", "taken")
