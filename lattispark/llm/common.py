@@ -46,28 +46,55 @@ def words_of(text: str | None) -> Iterator[list[str]]:
     yield WORD.findall(text, at)
 
 
-class Codes:
-    """64-bit codes of words, kept in a cache of bounded size."""
+_SPACE_BYTE = np.isin(np.arange(256), np.frombuffer(SPACES.encode(), np.uint8))
+_GAP = re.compile(rb"[\x20\x09-\x0D]")
+#: Words of more bytes are hashed one by one.
+_LONG = 1 << 16
 
-    def __init__(self, seed: int = 0):
-        self.seed, self.known = seed, {}
 
-    def __call__(self, words: list[str]) -> np.ndarray:
-        known = self.known
-        try:
-            return np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
-        except KeyError:
-            if len(known) > CACHE:
-                known.clear()
-            code, seed = xxhash.xxh3_64_intdigest, self.seed
-            for word in set(words):
-                if word not in known:
-                    known[word] = code(word.encode("utf-8", "surrogatepass"), seed)
-            return np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
+class Codes:
+    """64-bit codes of the words of a text, from its bytes: a polynomial of each word's bytes,
+    mixed. Memory is bounded by PIECE and the longest word."""
 
-    def of(self, text: str | None) -> np.ndarray:
-        parts = [self(words) for words in words_of(text)]
-        return np.concatenate(parts) if parts else np.empty(0, np.uint64)
+    def __init__(self, seed: int = 0):
+        draw = np.random.default_rng(0xC0DE + seed)
+        self.of_byte = draw.integers(1, 1 << 63, 256).astype(np.uint64)
+        self.powers = np.full(_LONG, 0x5851F42D4C957F2D, np.uint64)
+        self.powers[0] = 1
+        with np.errstate(over="ignore"):
+            self.powers = np.cumprod(self.powers, dtype=np.uint64)
+
+    def _piece(self, raw: bytes) -> np.ndarray:
+        data = np.frombuffer(raw, np.uint8)
+        inside = np.flatnonzero(~_SPACE_BYTE[data])
+        if not len(inside):
+            return np.empty(0, np.uint64)
+        first = np.concatenate([[0], np.flatnonzero(np.diff(inside) > 1) + 1])
+        sizes = np.diff(np.append(first, len(inside)))
+        place = np.arange(len(inside)) - np.repeat(first, sizes)
+        if (longest := int(sizes.max())) > _LONG:
+            place = np.minimum(place, _LONG - 1)
+        with np.errstate(over="ignore"):
+            out = mixed(np.add.reduceat(self.of_byte[data[inside]] * self.powers[place], first))
+        if longest > _LONG:
+            for k in np.flatnonzero(sizes > _LONG):
+                start = int(inside[first[k]])
+                out[k] = xxhash.xxh3_64_intdigest(raw[start : start + int(sizes[k])])
+        return out
+
+    def of(self, text: str | bytes | None) -> np.ndarray:
+        if not text:
+            return np.empty(0, np.uint64)
+        raw = text if isinstance(text, bytes) else text.encode("utf-8", "surrogatepass")
+        if len(raw) <= PIECE:
+            return self._piece(raw)
+        parts, at = [], 0
+        while at < len(raw):
+            gap = _GAP.search(raw, at + PIECE)
+            stop = gap.start() if gap else len(raw)
+            parts.append(self._piece(raw[at:stop]))
+            at = stop
+        return np.concatenate(parts)
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -82,16 +109,31 @@ def mixed(x: np.ndarray) -> np.ndarray:
 
 
 def rolled(codes: np.ndarray, width: int, seed: int = 0x9E3779B97F4A7C15) -> np.ndarray:
-    """A 64-bit hash of each window of so many codes; empty if there are fewer."""
+    """A 64-bit hash of each window of so many codes; empty if there are fewer. Hashes of
+    windows of one, two, four ... codes are joined to those of the width asked for."""
     n = len(codes) - width + 1
     if n <= 0:
         return np.empty(0, np.uint64)
     with np.errstate(over="ignore"):
-        total = np.zeros(n, np.uint64)
-        step = np.uint64(seed | 1)
-        for k in range(width):
-            total = total * step + codes[k : k + n]
-        return mixed(total)
+        part, span, step, at = codes, 1, np.uint64(seed | 1), 0
+        total = None
+        while True:
+            if width & span:
+                own = part[at : at + n]
+                total = own.copy() if total is None else total * step + own
+                at += span
+            if span * 2 > width:
+                return mixed(total)
+            part, step, span = part[:-span] * step + part[span:], step * step, span * 2
+
+
+def sliding(extreme: np.ufunc, values: np.ndarray, width: int) -> np.ndarray:
+    """The minimum or maximum of each window, by windows of one, two, four ... values."""
+    n, span = len(values) - width + 1, 1
+    while span * 2 <= width:
+        values = extreme(values[:-span], values[span:])
+        span *= 2
+    return extreme(values[:n], values[width - span : width - span + n])
 
 
 def batches(rows: int = BATCH_ROWS) -> Callable:
@@ -122,11 +164,16 @@ def arrow_stage(df: DataFrame, make: Callable[[], Callable], schema: str) -> Dat
             else:
                 yield from out
 
-    spark = df.sparkSession
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    bounded(df.sparkSession)
     return df.mapInArrow(run, schema)
 
 
+def bounded(spark: SparkSession) -> None:
+    """Bound the Arrow batches that the JVM sends, by rows and by bytes."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
 _made: list[tuple[SparkSession, str]] = []
 
 
@@ -174,6 +221,37 @@ def release() -> None:
             return
 
 
+#: Bits of a bitmap of hashes, and of one row of it.
+BITS, ROW = 27, 15
+
+
+def bitmap(values: DataFrame, column: str) -> np.ndarray:
+    """The lowest BITS bits of each value, as a bitmap: of 2**BITS bits, whatever the input."""
+
+    def run(stream):
+        for batch in stream:
+            maps = []
+            for low in batch.column(1).to_pylist():
+                bits = np.zeros(1 << ROW, np.uint8)
+                bits[low] = 1
+                maps.append(np.packbits(bits).tobytes())
+            yield pa.RecordBatch.from_pydict({"row": batch.column(0), "bits": pa.array(maps, pa.binary())})
+
+    place = F.col(column).bitwiseAND((1 << BITS) - 1)
+    sets = values.select(F.shiftright(place, ROW).cast("int").alias("row"), place.bitwiseAND((1 << ROW) - 1).cast("int").alias("low")).groupBy("row").agg(F.collect_set("low").alias("lows"))
+    out = np.zeros((1 << (BITS - ROW), 1 << (ROW - 3)), np.uint8)
+    made = sets.mapInArrow(run, "row int, bits binary").toArrow()  # as many bytes as the bitmap at most
+    for row, bits in zip(made.column("row").to_pylist(), made.column("bits").to_pylist(), strict=True):
+        out[row] = np.frombuffer(bits, np.uint8)
+    return out.reshape(-1)
+
+
+def held(bits: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """Which values a bitmap may hold; false for those that it surely lacks."""
+    place = (values & np.uint64((1 << BITS) - 1)).astype(np.int64)
+    return (bits[place >> 3] >> (7 - (place & 7)).astype(np.uint8)) & 1 == 1
+
+
 def narrow(df: DataFrame, *columns: str) -> DataFrame:
     """Only the columns that are read, so that other columns can't clash or be shipped."""
     return df.select(*[F.col(f"`{c}`") for c in columns])

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import batches, documents, narrow
+from .common import batches, bounded, documents, narrow
 
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
 LENGTH, SMALLEST, WINDOW = 64, 3, 7
@@ -166,14 +166,14 @@ def fingerprints(df: DataFrame, key: str = "doc_id", text: str = "text", parts:
 
     The next document is the one with the next key; after the last comes the first. A single
     document is its own next. Null texts count as empty; rows with a null key come first in the
-    order. Each text is shuffled once, and a task holds two documents at a time.
+    order, but the last row is followed by the first with a key. Each text is shuffled once, and a task holds two documents at a time.
     """
     rows = narrow(df, key, text).toDF(key, "text")
     spark = df.sparkSession
     parts = parts or max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     kind = df.schema[key].dataType.simpleString()
     placed = _with_next(rows, key, parts)
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "500")
+    bounded(spark)
     dealt = placed.repartition(parts, "bucket").sortWithinPartitions("bucket", "ahead", F.col(key).asc_nulls_first(), F.col("text").asc_nulls_first())
     arrow_key = pa.int64() if kind == "bigint" else None
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import zlib
+from array import array
 
 import numpy as np
 
@@ -78,17 +79,20 @@ class Grams:
     def __init__(self, bits: int, sizes: tuple[int, ...] = (3, 4, 5), fold: bool = True, table: np.ndarray | None = None):
         self.mask, self.sizes, self.fold, self.table, self.known = (1 << bits) - 1, sizes, fold, table, {}
 
-    def of(self, word: str) -> frozenset[int]:
+    def of(self, word: str) -> array:
         """The distinct features of a word; with a table, only those that it numbers at 0 or more."""
         found = self.known.get(word)
         if found is None:
             if len(self.known) > CACHE:
                 self.known.clear()
-            raw = f"<{word.lower() if self.fold else word}>"
-            mask, crc = self.mask, zlib.crc32
-            found = {crc(raw[k : k + n].encode("utf-8", "surrogatepass")) & mask for n in self.sizes for k in range(len(raw) - n + 1)}
-            if self.table is not None:
-                numbers = self.table[np.fromiter(found, np.int64, len(found))]
-                found = numbers[numbers >= 0].tolist()
-            found = self.known[word] = frozenset(found)
+            found = self.known[word] = self.made(word)
         return found
+
+    def made(self, word: str) -> array:
+        raw = f"<{word.lower() if self.fold else word}>"
+        mask, crc = self.mask, zlib.crc32
+        found = {crc(raw[k : k + n].encode("utf-8", "surrogatepass")) & mask for n in self.sizes for k in range(len(raw) - n + 1)}
+        if self.table is not None:
+            numbers = self.table[np.fromiter(found, np.int64, len(found))]
+            found = numbers[numbers >= 0].tolist()
+        return array("i", found)

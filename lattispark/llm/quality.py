@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WORD, arrow_stage, documents, narrow, words_of
+from .common import CACHE, WORD, arrow_stage, documents, narrow, words_of
 from .linear import Grams, Rows, fit, platt, sigmoid
 from .toxicity import _texts, sampled
 
@@ -182,10 +182,9 @@ def score(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",), sc
         def weight(word: str) -> float:
             found = known.get(word)
             if found is None:
-                if len(known) > 200_000:
+                if len(known) > CACHE:
                     known.clear()
-                own = grams.of(word)
-                found = known[word] = float(weights[np.fromiter(own, np.int64, len(own))].sum())
+                found = known[word] = float(weights[np.frombuffer(grams.made(word), np.int32)].sum())
             return found
 
         def each(batch: pa.RecordBatch) -> pa.RecordBatch:

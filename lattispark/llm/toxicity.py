@@ -43,7 +43,7 @@ def distinct_words(text: str | None) -> set[str]:
     return set().union(*words_of(text))
 
 
-def features(text: str | None, grams: Grams) -> frozenset[int] | set[int]:
+def features(text: str | None, grams: Grams) -> set[int]:
     return set().union(*map(grams.of, distinct_words(text)))
 
 

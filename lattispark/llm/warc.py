@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import new_path
+from .common import bounded, new_path
 
 #: Payloads below this many bytes are always written as responses.
 REVISIT_FROM = 1000
@@ -132,7 +132,7 @@ def read(spark: SparkSession, path: str) -> DataFrame:
                     yield batch(rows)
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("content")
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1")
+    bounded(spark)
     return files.mapInArrow(run, RECORD)
 
 
@@ -141,11 +141,9 @@ def assemble(rows: DataFrame) -> DataFrame:
     request and metadata. A capture without a request or metadata has a null there; records that
     name no capture are left out."""
     answers = rows.where(F.col("type").isin("response", "revisit"))
-    http_end = F.expr("position(X'0D0A0D0A', content)")
     payload = F.when(F.col("type") == "response", F.expr("substring(content, position(X'0D0A0D0A', content) + 4)"))
     answers = answers.select("id", "uri", "page", F.struct("type", "payload_digest", "refers_to_page", payload.alias("payload")).alias("response"))
     side = lambda kind: rows.where((F.col("type") == kind) & F.col("concurrent_to").isNotNull()).select(F.col("concurrent_to").alias("id"), F.struct(F.col("id").alias("record_id"), F.col("content").cast("string").alias("content")).alias(kind))
-    _ = http_end
     return answers.join(side("request"), "id", "left").join(side("metadata"), "id", "left")
 
 
