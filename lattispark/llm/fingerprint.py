@@ -9,11 +9,12 @@ compared by edit distance at the sizes that both have.
 
 from __future__ import annotations
 
+import math
 import zlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import batches, bounded, documents, narrow
@@ -134,6 +135,19 @@ def edited(text: str, following: str) -> str:
 SCHEMA = "n_chars long, edited_text string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
 
 
+def _bucket(column: Column, cuts: list) -> Column:
+    """How many of the ascending cuts are at most the column: first among every root-of-them-th,
+    then among those that follow it."""
+    if not cuts:
+        return F.lit(0)
+    step = math.isqrt(len(cuts) - 1) + 1
+    reached = lambda values: F.aggregate(values, F.lit(0), lambda n, c: n + F.when(column >= c, 1).otherwise(0))
+    runs = [cuts[k : k + step] for k in range(0, len(cuts), step)]
+    coarse = reached(F.array(*[F.lit(run[0]) for run in runs]))
+    fine = F.element_at(F.array(*[F.array(*[F.lit(c) for c in run]) for run in runs]), F.greatest(coarse, F.lit(1)))
+    return F.when(coarse > 0, (coarse - 1) * step + reached(fine)).otherwise(0)
+
+
 def _with_next(df: DataFrame, key: str, parts: int) -> DataFrame:
     """Rows of (bucket, ahead, key, text), such that each bucket holds a run of keys and, with
     ahead = 1, a copy of the row that comes next after it.
@@ -141,17 +155,12 @@ def _with_next(df: DataFrame, key: str, parts: int) -> DataFrame:
     Buckets are cut at keys of the table near its quantiles, so they hold about as many rows
     each; a key of many rows makes its bucket larger, and rows are streamed, never gathered.
     """
-    edges = [r for r in df.agg(F.percentile_approx(key, [k / parts for k in range(1, parts)] or [0.5], min(1000 * parts, 100_000)).alias("e"), F.min(key).alias("lo")).collect()]
-    lo = edges[0]["lo"]
-    cuts = sorted({c for c in edges[0]["e"] or [] if c != lo}) if parts > 1 else []
+    edges = df.agg(F.percentile_approx(key, [k / parts for k in range(1, parts)] or [0.5], min(1000 * parts, 100_000)).alias("e"), F.min(key).alias("lo")).first()
+    lo = edges["lo"]
+    cuts = sorted({c for c in edges["e"] or [] if c != lo}) if parts > 1 else []
     starts = [lo, *cuts]
-    bucket = F.lit(len(starts) - 1)
     column = F.col(key)
-    if cuts:
-        bucket = F.expr("0")
-        places = F.array(*[F.lit(c) for c in cuts])
-        bucket = F.coalesce(F.aggregate(places, F.lit(0), lambda n, c: n + F.when(column >= c, 1).otherwise(0)), F.lit(0))
-    rows = df.withColumn("bucket", bucket.cast("int")).withColumn("ahead", F.lit(0))
+    rows = df.withColumn("bucket", F.coalesce(_bucket(column, cuts), F.lit(0)).cast("int")).withColumn("ahead", F.lit(0))
     # the first row of a bucket is also shown to the bucket before it; of equal keys, the least text
     first = rows.where(column.isin(starts) if lo is not None else F.lit(False))
     first = first.groupBy("bucket").agg(F.min(F.struct(F.col(key), F.col("text").isNotNull(), F.col("text"))).alias("x"))
@@ -166,7 +175,8 @@ def fingerprints(df: DataFrame, key: str = "doc_id", text: str = "text", parts:
 
     The next document is the one with the next key; after the last comes the first. A single
     document is its own next. Null texts count as empty; rows with a null key come first in the
-    order, but the last row is followed by the first with a key. Each text is shuffled once, and a task holds two documents at a time.
+    order, but the last row is followed by the first with a key. Each text is shuffled once, and
+    a task holds two documents at a time.
     """
     rows = narrow(df, key, text).toDF(key, "text")
     spark = df.sparkSession
