@@ -201,7 +201,16 @@ def table(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = new_path(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    made = spark.read.schema(df.schema).parquet(path)
+    made.working_path = path
+    return made
+
+
+def drop(*tables: DataFrame) -> None:
+    """Delete working tables that nothing reads any more."""
+    for made in tables:
+        remove(made.sparkSession, made.working_path)
+        _made[:] = [x for x in _made if x[1] != made.working_path]
 
 
 def remove(spark: SparkSession, path: str) -> None:

@@ -5,10 +5,11 @@
    joins its group if their sets really link. Near copies come together here in a number of
    comparisons in proportion to theirs.
 3. The matrix holds, for each group, the union of its members' prefix shingles, with bounds on
-   the members' sizes and on what can still match after each shingle. A prefix is the part of an
-   ordered set that two linked sets must share in part; rare shingles come first in the order.
-4. A class is matched against the matrix. Groups other than its own whose bound on the overlap
-   reaches the threshold are opened, and only their members that share the shingle are compared.
+   the members' sizes. A prefix is the part of an ordered set of which two linked sets must share
+   some; rare shingles come first in the order.
+4. A class is matched against the matrix. How many shingles of its prefix a group's union has
+   bounds its overlap with each member. Groups other than its own that can reach the threshold
+   are opened, and the same bound is applied to their members; those that pass are compared.
 
 Steps 2 and 4 compare whole sets, so no link is lost or invented, except by a collision of
 64-bit hashes. Links within a group need no further comparison: the group is one component.
@@ -17,14 +18,13 @@ Steps 2 and 4 compare whole sets, so no link is lost or invented, except by a co
 from __future__ import annotations
 
 import hashlib
-import re
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Codes, arrow_stage, documents, narrow, rolled, table
+from .common import Codes, arrow_stage, bitmap, documents, drop, held, narrow, rolled, table
 
 WIDTH, PERCENT = 4, 85
 #: Lowest shingles by which classes are grouped, and how many of them must agree.
@@ -32,16 +32,13 @@ LOWEST, AGREE = 12, 4
 #: Frequent shingles that are ordered last: those seen so often in one batch, and the number of
 #: them that is sent to the executors. Only speed depends on them.
 SEEN, FREQUENT = 4, 300_000
+#: Texts that are compared with one other in a task, or so.
+MEMBERS = 256
 
-_UPPER = re.compile(r"[A-Z]")
 
-
-def lowered(text: str | None) -> str:
+def lowered(text: str | None) -> bytes:
     """A-Z in lower case; other letters as they are."""
-    text = text or ""
-    if text.isascii():
-        return text.lower()
-    return text.encode("utf-8", "surrogatepass").lower().decode("utf-8", "surrogatepass")
+    return (text or "").encode("utf-8", "surrogatepass").lower()
 
 
 def shingle_set(text: str | None, codes: Codes, width: int = WIDTH) -> np.ndarray:
@@ -132,28 +129,65 @@ def _prefixes(df: DataFrame, key: str, text: str, width: int, percent: int, freq
     return arrow_stage(narrow(df, key, text), make, f"`{key}` {kind}, n long, low array<long>, prefix array<long>")
 
 
-def _sets(df: DataFrame, key: str, text: str, width: int) -> DataFrame:
-    kind = df.schema[key].dataType.simpleString()
+def _wanted(docs: DataFrame, key: str, text: str, ids: DataFrame) -> DataFrame:
+    """(doc, text) of the rows whose key may be among the ids, which a bitmap of fixed size tells
+    without a shuffle; the join that follows settles it."""
+    kind = docs.schema[key].dataType.simpleString()
+    sent = docs.sparkSession.sparkContext.broadcast(bitmap(ids.select(F.xxhash64("doc").alias("h")), "h"))
 
     def make():
-        codes = Codes()
+        bits = sent.value
 
         def each(batch: pa.RecordBatch) -> pa.RecordBatch:
-            sets = [shingle_set(t, codes, width) for t in batch.column(batch.schema.get_field_index(text)).to_pylist()]
-            return pa.RecordBatch.from_pydict({"doc": batch.column(batch.schema.get_field_index(key)), "tokens": _lists(sets)})
+            hashes = batch.column(batch.schema.get_field_index("h")).to_numpy().view(np.uint64)
+            return batch.select(["doc", "text"]).filter(pa.array(held(bits, hashes)))
 
         return each
 
-    return arrow_stage(narrow(df, key, text), make, f"doc {kind}, tokens array<long>")
+    return arrow_stage(docs.select(F.col(key).alias("doc"), F.col(text).alias("text"), F.xxhash64(key).alias("h")), make, f"doc {kind}, text string")
 
 
 def _linked(pairs: DataFrame, docs: DataFrame, key: str, text: str, width: int, percent: int) -> DataFrame:
-    """Of pairs (a, b), those whose whole sets link."""
-    wanted = pairs.select(F.col("a").alias(key)).unionByName(pairs.select(F.col("b").alias(key))).distinct()
-    sets = table(_sets(narrow(docs, key, text).join(wanted, key, "left_semi"), key, text, width), "sets")
-    left, right = sets.select(F.col("doc").alias("a"), F.col("tokens").alias("x")), sets.select(F.col("doc").alias("b"), F.col("tokens").alias("y"))
-    shared = pairs.join(left, "a").join(right, "b").select("a", "b", F.size(F.array_intersect("x", "y")).alias("i"), (F.size("x") + F.size("y")).alias("both"))
-    return shared.where(100 * F.col("i") >= percent * (F.col("both") - F.col("i"))).select("a", "b").distinct()
+    """Of pairs (a, b), those whose whole sets link.
+
+    The texts of all a of one b come to one task, after that of b, and are compared one by one
+    as they stream in. A b of many pairs has its a dealt out, MEMBERS to a task or so.
+    """
+    kind = docs.schema[key].dataType.simpleString()
+    sizes = pairs.groupBy("b").agg(F.ceil(F.count(F.lit(1)) / MEMBERS).alias("parts"))
+    dealt = pairs.join(sizes, "b").select("a", "b", F.pmod(F.xxhash64("a"), "parts").cast("int").alias("part"))
+    seats = dealt.select(F.col("b").alias("hub"), "part", F.col("a").alias("doc"), F.lit(1).alias("rank"))
+    seats = table(seats.unionByName(dealt.select(F.col("b").alias("hub"), "part", F.col("b").alias("doc"), F.lit(0).alias("rank")).distinct()), "seats")
+    texts = _wanted(docs, key, text, seats.select("doc").distinct())
+    rows = seats.join(texts, "doc").repartition("hub", "part").sortWithinPartitions("hub", "part", "rank")
+
+    def make():
+        codes = Codes()
+        state: dict = {"at": None, "sets": []}
+
+        def each(batch: pa.RecordBatch) -> pa.RecordBatch:
+            left, right = [], []
+            for hub, part, doc, rank, value in zip(*(batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("hub", "part", "doc", "rank", "text")), strict=True):
+                if (hub, part) != state["at"]:
+                    state["at"], state["sets"] = (hub, part), []
+                own = shingle_set(value, codes, width)
+                if rank == 0:
+                    state["sets"].append(own)
+                    continue
+                for other in state["sets"]:
+                    shared = len(own) + len(other) - len(np.union1d(own, other))
+                    if shared and 100 * shared >= percent * (len(own) + len(other) - shared):
+                        left.append(doc)
+                        right.append(hub)
+                        break
+            keys = batch.schema.field("hub").type
+            return pa.RecordBatch.from_pydict({"a": pa.array(left, keys), "b": pa.array(right, keys)})
+
+        return each
+
+    links = table(arrow_stage(rows, make, f"a {kind}, b {kind}").distinct(), "links")
+    drop(seats)
+    return links
 
 
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
@@ -171,7 +205,8 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         moved = large.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        e = table(moved.unionByName(least.select("a", F.col("m").alias("b"))).distinct(), "edges")
+        old, e = e, table(moved.unionByName(least.select("a", F.col("m").alias("b"))).distinct(), "edges")
+        drop(old)
         now = state(e)
         if now == was:
             break
@@ -183,32 +218,46 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
 
 
 def _starts(rows: DataFrame) -> DataFrame:
-    """Pairs of a class and the least class that shares at least AGREE of its lowest shingles."""
+    """Pairs of a class and, of the classes that are least among those with one of its lowest
+    shingles, the one that is so for most of them, and for at least AGREE."""
     low = rows.select("doc", "n", F.explode("low").alias("token"))
     hubs = low.groupBy("token").agg(F.min("doc").alias("hub"), F.max("doc").alias("last")).where("hub < last").select("token", "hub")
     met = low.join(hubs, "token").where("doc <> hub").groupBy("doc", "hub", "n").count()
-    return met.where(F.col("count") >= F.least(F.lit(AGREE), F.col("n"))).select(F.col("doc").alias("a"), F.col("hub").alias("b"))
+    met = met.where(F.col("count") >= F.least(F.lit(AGREE), F.col("n")))
+    return met.groupBy(F.col("doc").alias("a")).agg(F.max_by("hub", F.struct("count", -F.col("hub"))).alias("b"))
 
 
-def _need(x: Column, y: Column, percent: int) -> Column:
-    """Shared shingles that sets of sizes x and y need, times 100 + percent."""
-    return percent * (x + y)
+def _reaches(shared: Column, x: Column, y: Column, percent: int) -> Column:
+    """Whether sets of sizes x and y can link, of whose prefixes so many shingles are the same.
+
+    The prefix that ends first in the order has all of its common shingles among those; after it,
+    its set has one less than at_least() left.
+    """
+    least = lambda n: F.floor((n * percent + 99) / 100)
+    return (shared - 1 + F.greatest(least(x), least(y))) * (100 + percent) >= percent * (x + y)
 
 
 def _opened(rows: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) of classes in different groups that the matrix can't rule out."""
-    cells = rows.select("doc", "n", "grp", F.posexplode("prefix").alias("at", "token")).withColumn("rest", F.col("n") - F.col("at"))
+    cells = rows.select("doc", "n", "grp", F.explode("prefix").alias("token"))
     crossed = cells.groupBy("token").agg(F.min("grp").alias("g1"), F.max("grp").alias("g2")).where("g1 < g2").select("token")
-    cells = table(cells.select("token", "doc", "n", "grp", "rest").join(crossed, "token", "left_semi"), "cells")
-    matrix = cells.groupBy("token", "grp").agg(F.min("n").alias("least"), F.max("n").alias("most"), F.max("rest").alias("reach"))
-    low = F.ceil(F.col("n") * percent / 100)
-    bound = (F.least("rest", "reach") * (100 + percent) >= _need(F.col("n"), F.greatest("least", low), percent)) & (F.col("most") * 100 >= percent * F.col("n")) & (F.col("least") * percent <= 100 * F.col("n"))
-    hit = cells.alias("q").join(matrix.select("token", F.col("grp").alias("other"), "least", "most", "reach"), "token").where((F.col("other") != F.col("grp")) & bound)
-    hit = hit.select("token", F.col("doc").alias("a"), F.col("n").alias("na"), F.col("rest").alias("ra"), "other")
-    members = cells.select("token", F.col("grp").alias("other"), F.col("doc").alias("b"), F.col("n").alias("nb"), F.col("rest").alias("rb"))
-    pairs = hit.join(members, ["token", "other"]).where("a > b")
-    pairs = pairs.where((F.least("ra", "rb") * (100 + percent) >= _need(F.col("na"), F.col("nb"), percent)) & (F.col("nb") * 100 >= percent * F.col("na")) & (F.col("na") * 100 >= percent * F.col("nb")))
-    return pairs.select("a", "b").distinct()
+    cells = table(cells.join(crossed, "token", "left_semi").select("token", "doc", "n", "grp"), "cells")
+    matrix = cells.groupBy("token", F.col("grp").alias("other")).agg(F.min("n").alias("least"), F.max("n").alias("most"))
+    fits = (F.col("most") * 100 >= percent * F.col("n")) & (F.col("least") * percent <= 100 * F.col("n"))
+    hit = cells.join(matrix, "token").where((F.col("other") != F.col("grp")) & fits)
+    # a group of a size range: the bound is least tight at one end of the sizes that can link
+    bound = hit.groupBy(F.col("doc").alias("a"), F.col("n").alias("na"), "other").agg(F.count(F.lit(1)).alias("shared"), F.min("least").alias("least"), F.max("most").alias("most"))
+    small = F.greatest("least", F.floor((F.col("na") * percent + 99) / 100))
+    large = F.least("most", F.floor(F.col("na") * 100 / percent))
+    groups = bound.where((small <= large) & (_reaches(F.col("shared"), F.col("na"), small, percent) | _reaches(F.col("shared"), F.col("na"), large, percent))).select("a", "na", "other")
+    groups = table(groups, "opened")
+    mine = cells.select("token", F.col("doc").alias("a")).join(groups, "a")
+    members = cells.select("token", F.col("grp").alias("other"), F.col("doc").alias("b"), F.col("n").alias("nb"))
+    pairs = mine.join(members, ["token", "other"]).where("a > b").groupBy("a", "b", "na", "nb").agg(F.count(F.lit(1)).alias("shared"))
+    fit = (F.col("nb") * 100 >= percent * F.col("na")) & (F.col("na") * 100 >= percent * F.col("nb"))
+    pairs = table(pairs.where(fit & _reaches(F.col("shared"), F.col("na"), F.col("nb"), percent)).select("a", "b"), "pairs")
+    drop(cells, groups)
+    return pairs
 
 
 def join(df: DataFrame, key: str = "doc_id", text: str = "text", width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
@@ -227,11 +276,14 @@ def join(df: DataFrame, key: str = "doc_id", text: str = "text", width: int = WI
     heads = classes.select(F.col("doc").alias(key)).distinct()
     prefixes = _prefixes(whole, key, text, width, percent, _frequent(marks))
     prefixes = table(prefixes.where("n > 0").join(heads, key, "left_semi").withColumnRenamed(key, "doc"), "prefixes")
-    links = table(_linked(table(_starts(prefixes), "pairs"), whole, key, text, width, percent), "links")
+    starts = table(_starts(prefixes), "pairs")
+    links = _linked(starts, whole, key, text, width, percent)
     groups = table(components(links), "groups")
     grouped = prefixes.join(groups, "doc", "left").select("doc", "n", "prefix", F.coalesce("component", "doc").alias("grp"))
-    more = _linked(table(_opened(grouped, percent), "pairs"), whole, key, text, width, percent)
+    opened = _opened(grouped, percent)
+    more = _linked(opened, whole, key, text, width, percent)
     final = components(links.unionByName(more))
+    drop(starts, links, more, groups, opened, prefixes)
     named = classes.join(final, "doc", "left").select("digest", F.coalesce("component", "doc").alias("component"))
     out = rows.select(key, "n", "digest").join(named, "digest", "left")
     component = F.when(F.col(key).isNotNull(), F.when(F.col("n") > 0, F.col("component")).otherwise(F.col(key)))
