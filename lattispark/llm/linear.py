@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-import zlib
-from array import array
+import re
+from collections.abc import Iterator
 
 import numpy as np
 
-from .common import CACHE
+#: Letters of a text that are looked at together, or up to the next space.
+LETTERS = 1 << 18
+GAP = re.compile(r"[\x20\x09-\x0D]")
 
 
 class Rows:
@@ -73,26 +75,38 @@ def platt(z: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return max(a, 1e-3), c
 
 
-class Grams:
-    """Hashed character n-grams of a word between marks of its ends, cached by word."""
-
-    def __init__(self, bits: int, sizes: tuple[int, ...] = (3, 4, 5), fold: bool = True, table: np.ndarray | None = None):
-        self.mask, self.sizes, self.fold, self.table, self.known = (1 << bits) - 1, sizes, fold, table, {}
-
-    def of(self, word: str) -> array:
-        """The distinct features of a word; with a table, only those that it numbers at 0 or more."""
-        found = self.known.get(word)
-        if found is None:
-            if len(self.known) > CACHE:
-                self.known.clear()
-            found = self.known[word] = self.made(word)
-        return found
-
-    def made(self, word: str) -> array:
-        raw = f"<{word.lower() if self.fold else word}>"
-        mask, crc = self.mask, zlib.crc32
-        found = {crc(raw[k : k + n].encode("utf-8", "surrogatepass")) & mask for n in self.sizes for k in range(len(raw) - n + 1)}
-        if self.table is not None:
-            numbers = self.table[np.fromiter(found, np.int64, len(found))]
-            found = numbers[numbers >= 0].tolist()
-        return array("i", found)
+def gram_numbers(text: str | None, bits: int, sizes: tuple[int, ...], fold: bool) -> Iterator[np.ndarray]:
+    """Hashed numbers below 2**bits of the character n-grams of a text's words, in parts.
+
+    Words are set apart by one mark, which may begin or end an n-gram but not lie within it.
+    """
+    if not text:
+        return
+    at = 0
+    while at < len(text):
+        gap = GAP.search(text, at + LETTERS)
+        stop = gap.start() if gap else len(text)
+        part = text[at:stop].lower() if fold else text[at:stop]
+        at = stop
+        letters = np.frombuffer(part.encode("utf-32-le", "surrogatepass"), "<u4")
+        mark = np.concatenate([[True], (letters == 32) | ((letters >= 9) & (letters <= 13)), [True]])
+        letters = np.concatenate([[0], letters, [0]]).astype(np.uint64)
+        letters[mark] = 0
+        once = ~mark
+        once[0] = True
+        once[1:] |= ~mark[:-1]
+        letters, mark = letters[once], mark[once]
+        if len(letters) < 2:
+            continue
+        with np.errstate(over="ignore"):
+            letters = (letters + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
+            for size in sizes:
+                n = len(letters) - size + 1
+                if n <= 0:
+                    continue
+                total, good = np.full(n, size, np.uint64), np.ones(n, bool)
+                for k in range(size):
+                    total = (total ^ letters[k : k + n]) * np.uint64(0xD6E8FEB86659FD93)
+                    if 0 < k < size - 1 or size == 1:
+                        good &= ~mark[k : k + n]
+                yield ((total ^ (total >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(64 - bits))[good].astype(np.int64)

@@ -1,7 +1,7 @@
 """Quality by co-training.
 
 Two logistic regressions look at a document from different sides: one at its text (hashed
-character n-grams of its words, each by its share of the words), one at the page's metadata
+character n-grams of its words, by how often they occur in so many words), one at the page's metadata
 (source, language, recorded length, and the layout of lines). Both start from the labelled
 sample. In each round, each labels the unlabelled texts of which it is surest, and hands these
 to the other. Each view is then calibrated on labelled rows that neither has seen, and a
@@ -18,11 +18,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import CACHE, WORD, arrow_stage, documents, narrow, words_of
-from .linear import Grams, Rows, fit, platt, sigmoid
+from .common import WORD, arrow_stage, documents, narrow, words_of
+from .linear import Rows, fit, gram_numbers, platt, sigmoid
 from .toxicity import _texts, sampled
 
-BITS, WIDTH = 15, 1 << 15
+BITS, WIDTH, SIZES = 15, 1 << 15, (1, 2, 3)
 #: Labelled rows of each class and unlabelled rows that take part in the fit, at most.
 SAMPLE, POOL = 3000, 4000
 ROUNDS, CONFIDENT = 4, 0.95
@@ -34,22 +34,17 @@ PAGE_WIDTH = LAYOUT + SOURCES + LANGS
 KEEP = 0.5
 
 
-def text_view(text: str | None, grams: Grams) -> tuple[np.ndarray, np.ndarray]:
-    """Features and, of each, the share of words that have it, times ten."""
-    counts: dict[str, int] = {}
-    total = 0
-    for words in words_of(text):
-        total += len(words)
-        for word in words:
-            counts[word] = counts.get(word, 0) + 1
-    if not total:
+def text_view(text: str | None) -> tuple[np.ndarray, np.ndarray]:
+    """Features and, of each, how often it occurs by ten words."""
+    parts = list(gram_numbers(text, BITS, SIZES, fold=False))
+    if not parts:
         return np.empty(0, np.int32), np.empty(0, np.float32)
-    sets = [grams.of(word) for word in counts]
-    sizes = np.fromiter(map(len, sets), np.int64, len(sets))
-    numbers = np.fromiter((x for s in sets for x in s), np.int32, int(sizes.sum()))
-    shares = np.repeat(np.fromiter(counts.values(), np.float64, len(counts)), sizes) * (10 / total)
-    own, at = np.unique(numbers, return_inverse=True)
-    return own, np.bincount(at, shares, len(own)).astype(np.float32)
+    own, counts = np.unique(np.concatenate(parts), return_counts=True)
+    return own.astype(np.int32), (counts * (10 / max(n_words(text), 1))).astype(np.float32)
+
+
+def n_words(text: str | None) -> int:
+    return sum(map(len, words_of(text)))
 
 
 def page_view(text: str | None, source: str | None, lang: str | None, n_chars: int | None) -> list[tuple[int, float]]:
@@ -125,12 +120,10 @@ def _featured(docs: DataFrame) -> DataFrame:
     """doc rows with label to rows of packed features of both views."""
 
     def make():
-        grams = Grams(BITS, (1, 2, 3), fold=False)
-
         def each(batch: pa.RecordBatch) -> pa.RecordBatch:
             x, v, p, q = [], [], [], []
             for t, s, lang, n in zip(*(_texts(batch, c) for c in ("text", "source", "lang", "n_chars")), strict=True):
-                numbers, shares = text_view(t, grams)
+                numbers, shares = text_view(t)
                 page = page_view(t, s, lang, n)
                 x.append(numbers.tobytes())
                 v.append(shares.tobytes())
@@ -175,27 +168,14 @@ def score(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",), sc
     others = [c for c in keep if c not in inputs]
 
     def make():
-        grams = Grams(BITS, (1, 2, 3), fold=False)
-        weights, known = model.text.weights, {}
+        weights = model.text.weights
         flat = len(weights) == 1
 
-        def weight(word: str) -> float:
-            found = known.get(word)
-            if found is None:
-                if len(known) > CACHE:
-                    known.clear()
-                found = known[word] = float(weights[np.frombuffer(grams.made(word), np.int32)].sum())
-            return found
-
         def each(batch: pa.RecordBatch) -> pa.RecordBatch:
             a, b = [], []
             for t, s, lang, n in zip(*(_texts(batch, c) for c in inputs), strict=True):
-                total = amount = 0.0
-                if not flat:
-                    for words in words_of(t):
-                        amount += len(words)
-                        total += sum(map(weight, words))
-                a.append(total * 10 / amount if amount else 0.0)
+                total = 0.0 if flat else sum(float(weights[g].sum(dtype=np.float64)) for g in gram_numbers(t, BITS, SIZES, fold=False))
+                a.append(total * 10 / max(n_words(t), 1))
                 b.append(0.0 if flat else sum(v * float(model.page.weights[k]) for k, v in page_view(t, s, lang, n)))
             x, y = model.text.odds(np.array(a)), model.page.odds(np.array(b))
             kept = {c: batch.column(batch.schema.get_field_index(c)) for c in keep}

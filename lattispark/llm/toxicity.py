@@ -15,10 +15,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_stage, documents, narrow, words_of
-from .linear import Grams, Rows, fit, sigmoid
+from .common import arrow_stage, documents, narrow
+from .linear import Rows, fit, gram_numbers, sigmoid
 
-BITS = 20
+BITS, SIZES = 20, (3, 4, 5)
 #: Labelled rows of each class that are fitted at most, and features that are kept.
 SAMPLE, FEATURES = 6000, 5000
 
@@ -39,23 +39,35 @@ def _texts(batch: pa.RecordBatch, name: str = "text") -> list:
     return batch.column(batch.schema.get_field_index(name)).to_pylist()
 
 
-def distinct_words(text: str | None) -> set[str]:
-    return set().union(*words_of(text))
+def features(text: str | None) -> np.ndarray:
+    """The distinct numbers of a text's n-grams, ascending."""
+    parts = [np.unique(p) for p in gram_numbers(text, BITS, SIZES, fold=True)]
+    return np.unique(np.concatenate(parts)) if parts else np.empty(0, np.int64)
 
 
-def features(text: str | None, grams: Grams) -> set[int]:
-    return set().union(*map(grams.of, distinct_words(text)))
+def known_features(text: str | None, table: np.ndarray) -> np.ndarray:
+    """The same, of features that the table numbers at 0 or more, by these numbers."""
+    parts = []
+    for numbers in gram_numbers(text, BITS, SIZES, fold=True):
+        found = table[numbers]
+        parts.append(found[found >= 0])
+    return np.unique(np.concatenate(parts)) if parts else np.empty(0, np.int32)
+
+
+def _table(numbers: np.ndarray) -> np.ndarray:
+    table = np.full(1 << BITS, -1, np.int32)
+    table[numbers] = np.arange(len(numbers))
+    return table
 
 
 def _counts(train: DataFrame) -> DataFrame:
     """Rows of (feature, n1, n0): texts of each class that have the feature."""
 
     def run(stream):
-        grams, counts = Grams(BITS), np.zeros((2, 1 << BITS), np.int64)
+        counts = np.zeros((2, 1 << BITS), np.int64)
         for batch in stream:
             for text, label in zip(_texts(batch), _texts(batch, "label"), strict=True):
-                found = features(text, grams)
-                counts[int(label), np.fromiter(found, np.int64, len(found))] += 1
+                counts[int(label), features(text)] += 1
         some = np.flatnonzero(counts.sum(0))
         for at in range(0, len(some), 100_000):
             part = some[at : at + 100_000]
@@ -71,10 +83,8 @@ class Model:
         self.numbers, self.weights, self.intercept = numbers, weights, intercept
 
     def scorer(self):
-        table = np.full(1 << BITS, -1, np.int64)
-        table[self.numbers] = np.arange(len(self.numbers))
-        grams = Grams(BITS, table=table)
-        return lambda text: float(sigmoid(self.intercept + self.weights[np.fromiter(found := features(text, grams), np.int64, len(found))].sum()))
+        table = _table(self.numbers)
+        return lambda text: float(sigmoid(self.intercept + self.weights[known_features(text, table)].sum()))
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", key: str = "doc_id", size: int = SAMPLE, n_features: int = FEATURES) -> Model:
@@ -100,11 +110,9 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", key: str = "
     numbers, ratios = np.array([x["feature"] for x in best]), np.array([x["r"] for x in best])
 
     def pick(stream):
-        table = np.full(1 << BITS, -1, np.int64)
-        table[numbers] = np.arange(len(numbers))
-        grams = Grams(BITS, table=table)
+        table = _table(numbers)
         for batch in stream:
-            rows = [np.fromiter(features(t, grams), np.int32).tobytes() for t in _texts(batch)]
+            rows = [known_features(t, table).tobytes() for t in _texts(batch)]
             yield pa.RecordBatch.from_pydict({"x": pa.array(rows, pa.binary()), "label": pa.array(_texts(batch, "label"), pa.int32())})
 
     got = sample.mapInArrow(pick, "x binary, label int").collect()
