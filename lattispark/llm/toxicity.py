@@ -2,8 +2,8 @@
 
 A text's features are the distinct character 3- to 5-grams of its words. Log-count ratios are
 counted over the training sample on the executors; the features that tell most are kept, each
-scaled by its ratio, and a logistic regression is fitted to them. The intercept is then moved
-from the sample's share of toxic texts to that of all training labels.
+scaled by its ratio, and a logistic regression is fitted to them, in which both classes weigh
+the same.
 """
 
 from __future__ import annotations
@@ -119,9 +119,9 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", key: str = "
     y = np.array([r["label"] for r in got], float)
     own = [np.frombuffer(r["x"], np.int32) for r in got]
     rows = Rows(own, [ratios[x] for x in own])
-    w, b = fit(rows, y, len(numbers), l2=1e-3)
-    shift = math.log(n1 / n0) - math.log(max(y.sum(), 1) / max((1 - y).sum(), 1))
-    return Model(numbers, w * ratios, b + shift)
+    weight = np.where(y == 1, 0.5 / max(y.sum(), 1), 0.5 / max((1 - y).sum(), 1))
+    w, b = fit(rows, y, len(numbers), weight, l2=1e-3)
+    return Model(numbers, w * ratios, b)
 
 
 def score(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",), text: str = "text") -> DataFrame:
