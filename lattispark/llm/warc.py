@@ -8,6 +8,7 @@ through that header and gives one nested row per capture.
 
 from __future__ import annotations
 
+import gzip
 import re
 
 import pyarrow as pa
@@ -82,8 +83,8 @@ def records(pages: DataFrame, key: str = "page_id") -> DataFrame:
 
 
 def write(pages: DataFrame, path: str, key: str = "page_id") -> None:
-    """Write archives under path, by Spark's text writer: WARC/1.1, not compressed."""
-    records(pages, key).write.option("lineSep", CRLF + CRLF).option("maxRecordsPerFile", FILE_RECORDS).text(path)
+    """Write archives under path, by Spark's text writer: WARC/1.1, each file one gzip member."""
+    records(pages, key).write.option("lineSep", CRLF + CRLF).option("maxRecordsPerFile", FILE_RECORDS).option("compression", "gzip").text(path)
 
 
 HEADER = re.compile(rb"^([^:\r\n]+):[ \t]*([^\r\n]*)\r?$", re.M)
@@ -111,7 +112,7 @@ def parse(data: bytes):
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
-    """One row per record of the archives under path: RECORD. Absent headers are null."""
+    """One row per record of the archives under path, gzipped or not: RECORD. Absent headers are null."""
     names = [("type", "warc-type"), ("id", "warc-record-id"), ("uri", "warc-target-uri"), ("concurrent_to", "warc-concurrent-to"), ("page", "warc-x-page"), ("refers_to_page", "warc-x-refers-to-page"), ("payload_digest", "warc-payload-digest")]
 
     def run(stream):
@@ -122,7 +123,8 @@ def read(spark: SparkSession, path: str) -> DataFrame:
         for files in stream:
             for data in files.column(0):
                 rows, held = [], 0
-                for row in parse(data.as_py()):
+                raw = data.as_py()
+                for row in parse(gzip.decompress(raw) if raw[:2] == b"\x1f\x8b" else raw):
                     rows.append(row)
                     held += len(row[1])
                     if len(rows) >= 2000 or held > 8 << 20:
