@@ -17,9 +17,9 @@ class Rows:
 
     def __init__(self, numbers: list[np.ndarray], values: list[np.ndarray] | None = None):
         self.sizes = np.array([len(x) for x in numbers], np.int64)
-        self.numbers = np.concatenate(numbers).astype(np.int64) if numbers else np.empty(0, np.int64)
-        self.values = np.concatenate(values).astype(np.float64) if values else np.ones(len(self.numbers))
-        self.of = np.repeat(np.arange(len(self.sizes)), self.sizes)
+        self.numbers = np.concatenate(numbers).astype(np.int32, copy=False) if numbers else np.empty(0, np.int32)
+        self.values = np.concatenate(values).astype(np.float32, copy=False) if values else np.ones(len(self.numbers), np.float32)
+        self.of = np.repeat(np.arange(len(self.sizes), dtype=np.int32), self.sizes)
 
     def dot(self, weights: np.ndarray) -> np.ndarray:
         return np.bincount(self.of, self.values * weights[self.numbers], len(self.sizes))
@@ -33,7 +33,7 @@ class Rows:
         part.sizes = self.sizes[chosen]
         at = np.repeat(starts[chosen] - (np.cumsum(part.sizes) - part.sizes), part.sizes) + np.arange(part.sizes.sum())
         part.numbers, part.values = self.numbers[at], self.values[at]
-        part.of = np.repeat(np.arange(len(part.sizes)), part.sizes)
+        part.of = np.repeat(np.arange(len(part.sizes), dtype=np.int32), part.sizes)
         return part
 
 

@@ -24,7 +24,7 @@ from .toxicity import _texts, sampled
 
 BITS, WIDTH, SIZES = 15, 1 << 15, (1, 2, 3)
 #: Labelled rows of each class and unlabelled rows that take part in the fit, at most.
-SAMPLE, POOL = 3000, 4000
+SAMPLE, POOL = 3000, 2000
 ROUNDS, CONFIDENT = 4, 0.95
 SOURCES, LANGS = 64, 16
 #: Columns of the metadata view before those of source and language.
@@ -151,12 +151,14 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", key: str =
     free = free.orderBy(F.xxhash64(F.lit(7), F.col(key)), key).limit(pool).collect()
     picked = spark.createDataFrame([*chosen, *((r[key], -1) for r in free)], f"{key} {kind}, label int")
     rows = narrow(docs, key, "text", "source", "lang", "n_chars").join(F.broadcast(picked), key)  # at most 2 x size + pool rows
-    got = _featured(rows.dropDuplicates([key]).drop(key).coalesce(8)).collect()
-    y = np.array([r["label"] for r in got], float)
+    got = _featured(rows.dropDuplicates([key]).drop(key).coalesce(8)).toArrow()
+    y = got.column("label").to_numpy().astype(float)
     if not (y == 1).any() or not (y == 0).any():
         return Model(flat, flat)
-    order = np.array(sorted(range(len(got)), key=lambda k: (got[k]["label"], zlib.crc32(got[k]["x"]), zlib.crc32(got[k]["q"]))), np.int64)
-    rows_of = lambda a, b: Rows([np.frombuffer(got[k][a], np.int32) for k in order], [np.frombuffer(got[k][b], np.float32) for k in order])
+    raw = {c: got.column(c).to_pylist() for c in "xvpq"}
+    del got
+    order = sorted(range(len(y)), key=lambda k: (y[k], zlib.crc32(raw["x"][k]), zlib.crc32(raw["q"][k])))
+    rows_of = lambda a, b: Rows([np.frombuffer(raw[a][k], np.int32) for k in order], [np.frombuffer(raw[b][k], np.float32) for k in order])
     return cotrain(rows_of("x", "v"), rows_of("p", "q"), y[order])
 
 
