@@ -17,19 +17,15 @@ it can't be broadcast within a proven bound. They are made per reference shard i
 
 from __future__ import annotations
 
-import hashlib
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Codes, arrow_stage, documents, narrow, rolled, table, words_of
+from .common import Codes, arrow_stage, bitmap, documents, held, rolled, sliding, table, words_of
 
 LENGTH, GRAM = 50, 8
 HOT = 256
-#: Bits of a bitmap of anchors, and of one row of it.
-BITS, ROW = 27, 15
 
 
 class Automaton:
@@ -92,14 +88,21 @@ class Automaton:
 
 
 def anchors(codes: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the grams, and the place of the anchor of each window."""
+    """Hashes of the grams, and of each window its anchor's hash."""
     grams = rolled(codes, gram)
     width = length - gram + 1
     if len(grams) < width:
-        return grams, np.empty(0, np.int64)
-    windows = np.lib.stride_tricks.sliding_window_view(grams, width)
-    found = [windows[k : k + 65536].argmin(1) for k in range(0, len(windows), 65536)]
-    return grams, np.concatenate(found) + np.arange(len(windows))
+        return grams, np.empty(0, np.uint64)
+    return grams, sliding(np.minimum, grams, width)
+
+
+def places(grams: np.ndarray, chosen: np.ndarray) -> np.ndarray:
+    """Where grams lie that are the anchor of a window (each of several equal ones)."""
+    if not len(chosen):
+        return np.empty(0, np.int64)
+    width = len(grams) - len(chosen) + 1
+    rim = np.zeros(width - 1, np.uint64)
+    return np.flatnonzero(sliding(np.maximum, np.concatenate([rim, chosen, rim]), width) == grams)
 
 
 def _lists(parts: list[np.ndarray]) -> pa.Array:
@@ -120,7 +123,7 @@ def _marks(docs: DataFrame, kind: str, length: int, gram: int) -> DataFrame:
             out = []
             for text in texts:
                 grams, chosen = anchors(codes.of(text), length, gram)
-                out.append(grams[np.unique(chosen)])
+                out.append(grams[places(grams, chosen)])
             return pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index("doc")), _lists(out)], ["doc", "anchors"])
 
         return each
@@ -128,32 +131,6 @@ def _marks(docs: DataFrame, kind: str, length: int, gram: int) -> DataFrame:
     return arrow_stage(docs.select("doc", "text"), make, f"doc {kind}, anchors array<long>")
 
 
-def bitmap(values: DataFrame, column: str) -> np.ndarray:
-    """The highest BITS bits of each value, as a bitmap: of 2**BITS bits, whatever the input."""
-
-    def run(stream):
-        for batch in stream:
-            rows, lows = _columns(batch, "row", "lows")
-            maps = []
-            for low in lows:
-                bits = np.zeros(1 << ROW, np.uint8)
-                bits[low] = 1
-                maps.append(np.packbits(bits).tobytes())
-            yield pa.RecordBatch.from_pydict({"row": pa.array(rows, pa.int32()), "bits": pa.array(maps, pa.binary())})
-
-    place = F.shiftrightunsigned(column, 64 - BITS)
-    sets = values.select(F.shiftright(place, ROW).cast("int").alias("row"), place.bitwiseAND((1 << ROW) - 1).cast("int").alias("low")).groupBy("row").agg(F.collect_set("low").alias("lows"))
-    out = np.zeros((1 << (BITS - ROW), 1 << (ROW - 3)), np.uint8)
-    for row, bits in sets.mapInArrow(run, "row int, bits binary").toLocalIterator():
-        out[row] = np.frombuffer(bits, np.uint8)
-    return out.reshape(-1)
-
-
-def _held(bits: np.ndarray, values: np.ndarray) -> np.ndarray:
-    place = (values >> np.uint64(64 - BITS)).astype(np.int64)
-    return (bits[place >> 3] >> (7 - (place & 7)).astype(np.uint8)) & 1 == 1
-
-
 def _snippets(docs: DataFrame, kind: str, length: int, gram: int, sent) -> DataFrame:
     """Rows (anchor, doc, same, first, words): the words around each repeated anchor."""
 
@@ -166,12 +143,12 @@ def _snippets(docs: DataFrame, kind: str, length: int, gram: int, sent) -> DataF
             for key, same, text in zip(*_columns(batch, "doc", "same", "text"), strict=True):
                 own = codes.of(text)
                 grams, chosen = anchors(own, length, gram)
-                places = np.unique(chosen)
-                values = grams[places]
+                own_places = places(grams, chosen)
+                values = grams[own_places]
                 packed = (own >> np.uint64(32)).astype("<u4").tobytes()
-                for k in np.flatnonzero(_held(repeated, values) & ~_held(hot, values)):
-                    first = max(0, int(places[k]) - (length - gram))
-                    last = min(len(own), int(places[k]) + length)
+                for k in np.flatnonzero(held(repeated, values) & ~held(hot, values)):
+                    first = max(0, int(own_places[k]) - (length - gram))
+                    last = min(len(own), int(own_places[k]) + length)
                     for column, value in zip(out, (int(values[k].view(np.int64)), key, same, first, packed[4 * first : 4 * last]), strict=True):
                         column.append(value)
                 if len(out[0]) > 20_000:
@@ -240,12 +217,12 @@ def _windows(docs: DataFrame, kind: str, length: int, gram: int, sent) -> DataFr
             for key, same, text in zip(*_columns(batch, "doc", "same", "text"), strict=True):
                 own = codes.of(text)
                 grams, chosen = anchors(own, length, gram)
-                at = np.flatnonzero(_held(hot, grams[chosen])) if len(chosen) else chosen
+                at = np.flatnonzero(held(hot, chosen))
                 if len(at):
                     hashes = rolled(own, length, seed=0x51A2B3C4D5E6F701)[at]
                     n = len(at)
                     yield pa.RecordBatch.from_pydict({
-                        "anchor": pa.array(grams[chosen[at]].view(np.int64)), "hash": pa.array(hashes.view(np.int64)),
+                        "anchor": pa.array(chosen[at].view(np.int64)), "hash": pa.array(hashes.view(np.int64)),
                         "doc": pa.array([key] * n, batch.schema.field("doc").type), "same": pa.array([same] * n, pa.int64()), "first": pa.array(at.astype(np.int32)),
                     })
 
