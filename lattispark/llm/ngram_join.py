@@ -237,6 +237,17 @@ def _reaches(shared: Column, x: Column, y: Column, percent: int) -> Column:
     return (shared - 1 + F.greatest(least(x), least(y))) * (100 + percent) >= percent * (x + y)
 
 
+def _reaches_some(shared: Column, x: Column, small: Column, large: Column, percent: int) -> Column:
+    """Whether _reaches() can hold for x and any size from small to large.
+
+    Up to x it is the least size that counts, as the prefix of x bounds all. Beyond x, at_least()
+    rounds up, so that the bound goes up and down with the size; with at_least() at its most before
+    rounding it only grows, and the largest size counts.
+    """
+    beyond = (100 * (shared - 1) + large * percent + 99) * (100 + percent) >= 100 * percent * (x + large)
+    return ((small <= x) & _reaches(shared, x, small, percent)) | ((large > x) & beyond)
+
+
 def _opened(rows: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) of classes in different groups that the matrix can't rule out."""
     cells = rows.select("doc", "n", "grp", F.explode("prefix").alias("token"))
@@ -245,11 +256,11 @@ def _opened(rows: DataFrame, percent: int) -> DataFrame:
     matrix = cells.groupBy("token", F.col("grp").alias("other")).agg(F.min("n").alias("least"), F.max("n").alias("most"))
     fits = (F.col("most") * 100 >= percent * F.col("n")) & (F.col("least") * percent <= 100 * F.col("n"))
     hit = cells.join(matrix, "token").where((F.col("other") != F.col("grp")) & fits)
-    # a group of a size range: the bound is least tight at one end of the sizes that can link
+    # a group of a size range; which of its sizes there are isn't known
     bound = hit.groupBy(F.col("doc").alias("a"), F.col("n").alias("na"), "other").agg(F.count(F.lit(1)).alias("shared"), F.min("least").alias("least"), F.max("most").alias("most"))
     small = F.greatest("least", F.floor((F.col("na") * percent + 99) / 100))
     large = F.least("most", F.floor(F.col("na") * 100 / percent))
-    groups = bound.where((small <= large) & (_reaches(F.col("shared"), F.col("na"), small, percent) | _reaches(F.col("shared"), F.col("na"), large, percent))).select("a", "na", "other")
+    groups = bound.where((small <= large) & _reaches_some(F.col("shared"), F.col("na"), small, large, percent)).select("a", "na", "other")
     groups = table(groups, "opened")
     mine = cells.select("token", F.col("doc").alias("a")).join(groups, "a")
     members = cells.select("token", F.col("grp").alias("other"), F.col("doc").alias("b"), F.col("n").alias("nb"))

@@ -458,6 +458,33 @@ def test_join(spark, seed, monkeypatch):
     assert {r["doc_id"]: (r["n_shingles"], r["component"]) for r in ngram_join.join(table).collect()} == want
 
 
+def test_join_with_a_member_of_inner_size(spark, monkeypatch):
+    """The text links with one member of a group, whose size lies between those of two that it doesn't reach."""
+    words = sorted((f"w{k}" for k in range(21)), key=lambda w: int(ngram_join.shingle_set(w, Codes(), 1)[0]))
+    p, c, q = words[:3], words[3:20], words[20:]
+    texts = {1: p[:2] + c[:15], 2: p[:2] + c, 3: p + c, 4: c + q}
+    rows = [(k, " ".join(w), "en", "s", 1) for k, w in texts.items()]
+    monkeypatch.setattr(ngram_join, "SEEN", 10**9)  # shingles are ordered by hash alone
+    got = {r["doc_id"]: r["component"] for r in ngram_join.join(spark.createDataFrame(rows, SCHEMA), width=1).collect()}
+    assert got == dict.fromkeys(texts, 1)
+
+
+def test_bound_of_a_group_misses_no_size(spark):
+    """Against every size, one by one; ends are drawn."""
+    rng = random.Random(5)
+    cases = [(10, 3, 9, 11), (18, 1, 17, 20)]
+    for _ in range(4000):
+        x = rng.randrange(1, 400)
+        low, high = ngram_join.at_least(x), x * 100 // 85
+        a, b = sorted((rng.randint(low, high), rng.randint(low, high)))
+        cases.append((x, rng.randint(1, x - low + 1), a, b))
+    reach = lambda x, shared, y: (shared - 1 + max(ngram_join.at_least(x), ngram_join.at_least(y))) * 185 >= 85 * (x + y)
+    table = spark.createDataFrame(cases, "x long, shared long, a long, b long")
+    opens = ngram_join._reaches_some(*map(F.col, ("shared", "x", "a", "b")), 85)
+    missed = [r for r in table.withColumn("opens", opens).collect() if not r["opens"] and any(reach(r["x"], r["shared"], y) for y in range(r["a"], r["b"] + 1))]
+    assert not missed
+
+
 def test_join_of_odd_tables(spark, empty):
     assert ngram_join.join(empty).count() == 0
     rows = [(None, "a b c d e", None, None, None), (5, "a b c d e", None, None, None), (5, "a b c d e", None, None, None), (3, "A B c d E", None, None, None), (9, "a b", None, None, None), (8, "a b", None, None, None), (7, None, None, None, None)]
