@@ -58,21 +58,29 @@ def fit(rows: Rows, y: np.ndarray, width: int, weight: np.ndarray | None = None,
     return w, float(b)
 
 
-def platt(z: np.ndarray, y: np.ndarray) -> tuple[float, float]:
-    """Slope and intercept that turn a margin into a log-odds, with smoothed targets."""
+def platt(z: np.ndarray, y: np.ndarray, weight: np.ndarray | None = None) -> tuple[float, float]:
+    """Slope and intercept that turn a margin into a log-odds, with smoothed targets. Weights say
+    how many rows of the population each row stands for."""
     n1, n0 = float((y == 1).sum()), float((y == 0).sum())
     if not n1 or not n0:
         return 1.0, 0.0
+    weight = np.ones(len(y)) if weight is None else weight * (len(y) / weight.sum())
     target = np.where(y == 1, (n1 + 1) / (n1 + 2), 1 / (n0 + 2))
-    a, c = 1.0, 0.0
-    for _ in range(50):  # Newton's steps, damped
-        p = sigmoid(a * z + c)
-        d, s = p - target, np.maximum(p * (1 - p), 1e-9)
+    loss = lambda t: float((weight * (np.logaddexp(0, t[0] * z + t[1]) - target * (t[0] * z + t[1]))).sum())
+    at = np.array([1.0, 0.0])
+    now = loss(at)
+    for _ in range(50):  # Newton's steps, halved until the loss falls
+        p = sigmoid(at[0] * z + at[1])
+        d, s = (p - target) * weight, np.maximum(p * (1 - p), 1e-9) * weight
         g = np.array([(d * z).sum(), d.sum()])
         h = np.array([[(s * z * z).sum() + 1e-3, (s * z).sum()], [(s * z).sum(), s.sum() + 1e-3]])
         step = np.linalg.solve(h, g)
-        a, c = a - float(np.clip(step[0], -2, 2)), c - float(np.clip(step[1], -2, 2))
-    return max(a, 1e-3), c
+        while (then := loss(at - step)) > now and np.abs(step).max() > 1e-9:
+            step /= 2
+        if now - then < 1e-10:
+            break
+        at, now = at - step, then
+    return max(float(at[0]), 1e-3), float(at[1])
 
 
 def gram_numbers(text: str | None, bits: int, sizes: tuple[int, ...], fold: bool) -> Iterator[np.ndarray]:

@@ -83,8 +83,9 @@ class Model:
         self.text, self.page = text, page
 
 
-def cotrain(text: Rows, page: Rows, y: np.ndarray, rounds: int = ROUNDS, sure: float = CONFIDENT) -> Model:
-    """y: 0, 1, or -1 where there is no label. Every fifth labelled row is kept for calibration."""
+def cotrain(text: Rows, page: Rows, y: np.ndarray, rounds: int = ROUNDS, sure: float = CONFIDENT, stands: tuple[float, float] = (1.0, 1.0)) -> Model:
+    """y: 0, 1, or -1 where there is no label. Every fifth labelled row is kept for calibration, in
+    which a row of class 0 or 1 stands for so many labelled rows."""
     labelled = np.flatnonzero(y >= 0)
     apart, start = labelled[::5], np.setdiff1d(labelled, labelled[::5])
     pool = np.flatnonzero(y < 0)
@@ -111,7 +112,7 @@ def cotrain(text: Rows, page: Rows, y: np.ndarray, rounds: int = ROUNDS, sure: f
     out = []
     for k in (0, 1):
         w, b = fitted[k]
-        slope, shift = platt(views[k].take(apart).dot(w) + b, y[apart])
+        slope, shift = platt(views[k].take(apart).dot(w) + b, y[apart], np.where(y[apart] == 1, stands[1], stands[0]))
         out.append(View(w.astype(np.float32), b, slope, shift))
     return Model(*out)
 
@@ -159,7 +160,9 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", key: str =
     del got
     order = sorted(range(len(y)), key=lambda k: (y[k], zlib.crc32(raw["x"][k]), zlib.crc32(raw["q"][k])))
     rows_of = lambda a, b: Rows([np.frombuffer(raw[a][k], np.int32) for k in order], [np.frombuffer(raw[b][k], np.float32) for k in order])
-    return cotrain(rows_of("x", "v"), rows_of("p", "q"), y[order])
+    # the sample is capped class by class; calibration is to the labels' own shares
+    stands = (n0 / min(n0, size), n1 / min(n1, size))
+    return cotrain(rows_of("x", "v"), rows_of("p", "q"), y[order], stands=stands)
 
 
 def score(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",), scores: bool = True) -> DataFrame:

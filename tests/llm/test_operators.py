@@ -377,6 +377,16 @@ def test_quality(spark, empty):
     assert quality.score(empty, model).count() == 0
 
 
+@pytest.mark.parametrize("size", [3000, 300])
+def test_quality_scores_keep_to_the_labels_shares(spark, size):
+    """Six good rows to a bad one, and nothing that tells them: the cap of a class doesn't move the scores."""
+    rng = random.Random(8)
+    table = spark.createDataFrame([(k, vocabulary_text(rng, 40), "en", "s", 200) for k in range(2100)], SCHEMA)
+    labels = spark.createDataFrame([(k, int(k % 7 > 0)) for k in range(2100)], "doc_id long, quality int")
+    scores = [r["score"] for r in quality.score(table, quality.train(table, labels, size=size)).collect()]
+    assert 0.8 < np.mean(scores) < 0.9
+
+
 def test_quality_without_two_classes(spark, docs):
     for labels in ([], [(1, 1, 0)], [(1, None, None)], [(999, 0, 0), (998, 1, 0)]):
         model = quality.train(docs, spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))
