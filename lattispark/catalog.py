@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from math import prod
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -48,8 +49,9 @@ def v(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def v4(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first 10,000 values as an array of rank 4: the array is that box of the vector."""
-    return C.reshaped(v(spark, sf_dir).where("i0 < 10000"), (10000,), (10, 10, 10, 10))
+    """All values as an array of rank 4, a thousand to each step of the leading axis."""
+    shape = v4_shape(spark, sf_dir)
+    return C.reshaped(v(spark, sf_dir), (prod(shape),), shape)
 
 
 def o(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -61,6 +63,12 @@ def rows_of(spark: SparkSession, sf_dir: str, name: str) -> int:
     return _table(spark, sf_dir, name).count()
 
 
+def v4_shape(spark, sf_dir):
+    """The leading axis grows with the events. It has ten steps at least, as the selections go up to
+    the eighth; steps beyond the events hold no cells."""
+    return max(10, -(-rows_of(spark, sf_dir, "events") // 1000)), 10, 10, 10
+
+
 def e_shape(spark, sf_dir):
     return rows_of(spark, sf_dir, "embeddings"), WIDTH
 
@@ -135,7 +143,7 @@ def boolean_index(spark, sf_dir):
 
 @query(f"WITH {V4} SELECT i1 AS i0, i2 AS i1, i3 AS i2, value FROM V4 WHERE i0 = 2 AND i3 < 5")
 def ellipsis_4d(spark, sf_dir):
-    return C.select(v4(spark, sf_dir), (2, Ellipsis, slice(0, 5)), (10, 10, 10, 10))
+    return C.select(v4(spark, sf_dir), (2, Ellipsis, slice(0, 5)), v4_shape(spark, sf_dir))
 
 
 @query(f"WITH {E}, a(p, i0) AS (VALUES (0::BIGINT, 0), (1, 5), (2, 9)), b(q, i1) AS (VALUES (0::BIGINT, 3), (1, 1)) SELECT p AS i0, q AS i1, value FROM E JOIN a USING (i0) JOIN b USING (i1)")
@@ -151,7 +159,7 @@ def pointwise_index(spark, sf_dir):
 @query(f"WITH {V4}, g(p, i0, i2) AS (VALUES (0::BIGINT, 1, 4), (1, 7, 7)) SELECT p AS i0, i1, i3 AS i2, value FROM V4 JOIN g USING (i0, i2)")
 def split_arrays_4d(spark, sf_dir):
     """Arrays on axes apart: their common axis comes first, as in NumPy."""
-    return C.select(v4(spark, sf_dir), ([1, 7], slice(None), [4, 7]), (10, 10, 10, 10))
+    return C.select(v4(spark, sf_dir), ([1, 7], slice(None), [4, 7]), v4_shape(spark, sf_dir))
 
 
 @query(f"WITH {E} SELECT value FROM E WHERE i0 = 3 AND i1 = 5")
@@ -256,7 +264,8 @@ def transpose(spark, sf_dir):
 
 @query(f"WITH {V4} SELECT i1 AS i0, i2 AS i1, i0 AS i2, value FROM V4 WHERE i3 = 0")
 def transpose_3d(spark, sf_dir):
-    return C.transposed(C.select(v4(spark, sf_dir), (Ellipsis, 0), (10, 10, 10, 10)), (1, 2, 0))
+    """The SQL asks for the first ten steps of the leading axis."""
+    return C.transposed(C.select(v4(spark, sf_dir), (slice(0, 10), Ellipsis, 0), v4_shape(spark, sf_dir)), (1, 2, 0))
 
 
 @query(f"WITH {E} SELECT i0 + i1 * (SELECT max(i0) + 1 FROM E) AS place, value FROM E")
@@ -300,8 +309,17 @@ def shard_index_offsets(spark, sf_dir):
 
 @query("SELECT doc_id::BIGINT - 5 AS i0, text AS value FROM documents WHERE doc_id BETWEEN 5 AND 24")
 def vlen_strings(spark, sf_dir):
-    cells = _table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long").alias("i0"), F.col("text").alias("value"))
-    return C.select(cells, slice(5, 25), (rows_of(spark, sf_dir, "documents"),))
+    return C.select(vlen_texts(spark, sf_dir), slice(5, 25), (rows_of(spark, sf_dir, "documents"),))
+
+
+def vlen_texts(spark, sf_dir):
+    """Every text through the vlen-utf8 codec and back. A mark before each tells null and empty texts
+    from the fill of ids that aren't there."""
+    cells = _table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long").alias("i0"), F.when(F.col("text").isNull(), "-").otherwise(F.concat(F.lit("+"), "text")).alias("value"))
+    top = cells.agg(F.max("i0")).first()[0]
+    meta = ArrayMeta((0 if top is None else top + 1,), (64,), "string", "", ({"name": "vlen-utf8"}, {"name": "zstd"}))
+    back = coding.decoded(coding.encoded(cells, meta), meta).where("value <> ''")
+    return back.select("i0", F.when(F.col("value") != "-", F.expr("substring(value, 2)")).alias("value"))
 
 
 @query("SELECT o_orderkey::BIGINT AS i0, o_orderstatus AS value_status, o_totalprice::DOUBLE AS value_price FROM orders WHERE o_orderkey BETWEEN 10 AND 59")

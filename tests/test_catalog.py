@@ -29,6 +29,23 @@ def test_query_matches_sql(spark, tables, name):
     assert got == sorted(map(repr, want.select(", ".join(columns)).fetchall()))
 
 
+def test_rank_4_holds_every_event(spark):
+    events = 100_000
+    got = catalog.v4(spark, "/root/testdata/sf0.1").selectExpr("count(*)", "max(i0)").first()
+    assert tuple(got) == (events, events // 1000 - 1)
+
+
+def test_every_text_goes_through_the_vlen_codec(spark, tmp_path, monkeypatch):
+    texts = [None, "", "-", "+", "é\n😀", *(f"text {k} " * 9 for k in range(300))]
+    rows = [(k if k < 200 else k + 500, x) for k, x in enumerate(texts)]  # and ids that aren't there
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    sent, encoded = [], catalog.coding.encoded
+    monkeypatch.setattr(catalog.coding, "encoded", lambda cells, meta: sent.append((cells.count(), meta.codecs[0]["name"])) or encoded(cells, meta))
+    assert sorted(map(tuple, catalog.vlen_texts(spark, str(tmp_path)).collect())) == sorted(rows)
+    got = sorted(map(tuple, catalog.QUERIES["vlen_strings"](spark, str(tmp_path)).collect()))
+    assert got == [(k - 5, x) for k, x in rows if 5 <= k < 25] and sent == [(len(rows), "vlen-utf8")] * 2
+
+
 def test_entry_points(spark):
     import __spark_entry__ as entry
 
