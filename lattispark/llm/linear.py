@@ -36,6 +36,13 @@ class Rows:
         part.of = np.repeat(np.arange(len(part.sizes), dtype=np.int32), part.sizes)
         return part
 
+    def plus(self, other: "Rows") -> "Rows":
+        """These rows and then the others."""
+        part = Rows([])
+        part.sizes, part.numbers, part.values = (np.concatenate([getattr(self, c), getattr(other, c)]) for c in ("sizes", "numbers", "values"))
+        part.of = np.repeat(np.arange(len(part.sizes), dtype=np.int32), part.sizes)
+        return part
+
 
 def sigmoid(z):
     return 1 / (1 + np.exp(-np.clip(z, -35, 35)))

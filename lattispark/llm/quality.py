@@ -3,8 +3,8 @@
 Two logistic regressions look at a document from different sides: one at its text (hashed
 character n-grams of its words, by how often they occur in so many words), one at the page's metadata
 (source, language, recorded length, and the layout of lines). Both start from the labelled
-sample. In each round, each labels the unlabelled texts of which it is surest, and hands these
-to the other. Each view is then calibrated on labelled rows that neither has seen, and a
+sample. In each round, each scores every unlabelled text, labels those of either class of which
+it is surest, and hands these to the other. Each view is then calibrated on labelled rows that neither has seen, and a
 document's score is the mean of its two calibrated log-odds.
 """
 
@@ -12,19 +12,21 @@ from __future__ import annotations
 
 import math
 import zlib
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WORD, arrow_stage, documents, narrow, words_of
+from .common import WORD, arrow_stage, documents, drop, narrow, table, words_of
 from .linear import Rows, fit, gram_numbers, platt, sigmoid
 from .toxicity import _texts, sampled
 
 BITS, WIDTH, SIZES = 15, 1 << 15, (1, 2, 3)
-#: Labelled rows of each class and unlabelled rows that take part in the fit, at most.
-SAMPLE, POOL = 3000, 2000
+#: Labelled rows of each class that take part in the fit, and pseudo-labels of each class that a
+#: view gets from the other in the last round, at most.
+SAMPLE, PSEUDO = 3000, 500
 ROUNDS, CONFIDENT = 4, 0.95
 SOURCES, LANGS = 64, 16
 #: Columns of the metadata view before those of source and language.
@@ -83,32 +85,28 @@ class Model:
         self.text, self.page = text, page
 
 
-def cotrain(text: Rows, page: Rows, y: np.ndarray, rounds: int = ROUNDS, sure: float = CONFIDENT, stands: tuple[float, float] = (1.0, 1.0)) -> Model:
-    """y: 0, 1, or -1 where there is no label. Every fifth labelled row is kept for calibration, in
-    which a row of class 0 or 1 stands for so many labelled rows."""
-    labelled = np.flatnonzero(y >= 0)
-    apart, start = labelled[::5], np.setdiff1d(labelled, labelled[::5])
-    pool = np.flatnonzero(y < 0)
+def cotrain(text: Rows, page: Rows, y: np.ndarray, more: Callable | None = None, rounds: int = ROUNDS, stands: tuple[float, float] = (1.0, 1.0)) -> Model:
+    """y: 0 or 1. Every fifth row is kept for calibration, in which a row of class 0 or 1 stands for
+    so many labelled rows. more(model, turn) gives, for each view, rows and labels that the other
+    view is sure of; it is None where there is no unlabelled text."""
+    every = np.arange(len(y))
+    apart, start = every[::5], np.setdiff1d(every, every[::5])
     views = (text, page)
     widths = (WIDTH, PAGE_WIDTH)
-    given: list[dict[int, int]] = [{}, {}]  # pseudo-labels that each view has got from the other
+    first = [v.take(start) for v in views]
+    given = [(Rows([]), np.empty(0)), (Rows([]), np.empty(0))]
     fitted: list[tuple[np.ndarray, float]] = [(np.zeros(w), 0.0) for w in widths]
     for turn in range(rounds + 1):
         for k in (0, 1):
-            extra = np.fromiter(given[k], np.int64, len(given[k]))
-            rows = np.concatenate([start, extra])
-            target = np.concatenate([y[start], np.fromiter(given[k].values(), np.float64, len(extra))])
-            weight = np.concatenate([np.ones(len(start)), np.full(len(extra), 0.5)])
+            extra, labels = given[k]
+            target = np.concatenate([y[start], labels])
+            weight = np.concatenate([np.ones(len(start)), np.full(len(labels), 0.5)])
             ones = max((weight * (target == 1)).sum(), 1e-9)
             zeros = max((weight * (target == 0)).sum(), 1e-9)
-            fitted[k] = fit(views[k].take(rows), target, widths[k], weight * np.where(target == 1, 0.5 / ones, 0.5 / zeros), l2=1e-4, steps=150)
-        if turn == rounds or not len(pool):
+            fitted[k] = fit(first[k].plus(extra), target, widths[k], weight * np.where(target == 1, 0.5 / ones, 0.5 / zeros), l2=1e-4, steps=150)
+        if turn == rounds or more is None:
             break
-        for k in (0, 1):
-            p = sigmoid(views[k].take(pool).dot(fitted[k][0]) + fitted[k][1])
-            quota = max(1, len(pool) // (4 * rounds)) * (turn + 1)
-            order = np.argsort(-np.abs(p - 0.5), kind="stable")[:quota]
-            given[1 - k] = {int(pool[i]): int(p[i] >= 0.5) for i in order if max(p[i], 1 - p[i]) >= sure}
+        given = more(Model(*(View(w.astype(np.float32), b) for w, b in fitted)), turn)
     out = []
     for k in (0, 1):
         w, b = fitted[k]
@@ -137,32 +135,73 @@ def _featured(docs: DataFrame) -> DataFrame:
     return arrow_stage(docs, make, "x binary, v binary, p binary, q binary, label int")
 
 
-def train(docs: DataFrame, labels: DataFrame, label: str = "quality", key: str = "doc_id", size: int = SAMPLE, pool: int = POOL) -> Model:
-    """Fit on up to `size` labelled rows of each class and `pool` unlabelled rows, all chosen by
-    hash of the key. Labels that have no row in docs are not used."""
-    spark = docs.sparkSession
+def _packed(docs: DataFrame, picked: list[tuple], key: str) -> tuple[list[Rows], np.ndarray]:
+    """The rows of both views, and the number that goes with each, of the (key, number) picked."""
+    kind = docs.schema[key].dataType.simpleString()
+    chosen = docs.sparkSession.createDataFrame(picked, f"{key} {kind}, label int")
+    rows = narrow(docs, key, "text", "source", "lang", "n_chars").join(F.broadcast(chosen), key)
+    got = _featured(rows.dropDuplicates([key]).drop(key).coalesce(8)).toArrow()
+    y = got.column("label").to_numpy().astype(int)
+    raw = {c: got.column(c).to_pylist() for c in "xvpq"}
+    del got
+    order = sorted(range(len(y)), key=lambda k: (y[k], zlib.crc32(raw["x"][k]), zlib.crc32(raw["q"][k])))
+    rows_of = lambda a, b: Rows([np.frombuffer(raw[a][k], np.int32) for k in order], [np.frombuffer(raw[b][k], np.float32) for k in order])
+    return [rows_of("x", "v"), rows_of("p", "q")], y[order]
+
+
+def _surest(docs: DataFrame, known: DataFrame, model: Model, quota: int, key: str, sure: float = CONFIDENT) -> list[dict]:
+    """For each view, its labels by key: up to `quota` unlabelled documents of each class that it is
+    surest of, out of all. Of those it is equally sure of, by hash of the key."""
+    scored = score(docs.where(F.col(key).isNotNull()), model, keep=(key,))
+    columns = ("text_score", "page_score")
+    either = [(F.col(c) >= sure) | (F.col(c) <= 1 - sure) for c in columns]
+    # a few bytes a document; the texts aren't kept
+    rows = table(scored.where(either[0] | either[1]).select(key, *columns).join(known, key, "left_anti"), "sure")
+    out = []
+    for c in columns:
+        labels: dict = {}
+        for label, chance in ((1, F.col(c)), (0, 1 - F.col(c))):
+            top = rows.where(chance >= sure).groupBy(key).agg(F.max(chance).alias("chance"))
+            for r in top.orderBy(F.desc("chance"), F.xxhash64(F.lit(7), F.col(key)), key).limit(quota).select(key).collect():
+                labels.setdefault(r[key], label)
+        out.append(labels)
+    drop(rows)
+    return out
+
+
+def train(docs: DataFrame, labels: DataFrame, label: str = "quality", key: str = "doc_id", size: int = SAMPLE, pseudo: int = PSEUDO) -> Model:
+    """Fit on up to `size` labelled rows of each class, chosen by hash of the key, and in the last
+    round on up to `pseudo` rows of each class that the other view is surest of among all unlabelled
+    documents. Labels that have no row in docs are not used."""
     chosen, counts = sampled(labels, label, key, size)
     n1, n0 = counts.get(1, 0), counts.get(0, 0)
     flat = View(np.zeros(1), math.log((n1 + 1) / (n0 + 1)) if n1 or n0 else 1.0)
     if not n1 or not n0:
         return Model(flat, flat)
-    kind = docs.schema[key].dataType.simpleString()
-    known = labels.where(F.col(label).isin(0, 1)).select(key).distinct()
-    free = narrow(docs, key).where(F.col(key).isNotNull()).join(known, key, "left_anti").distinct()
-    free = free.orderBy(F.xxhash64(F.lit(7), F.col(key)), key).limit(pool).collect()
-    picked = spark.createDataFrame([*chosen, *((r[key], -1) for r in free)], f"{key} {kind}, label int")
-    rows = narrow(docs, key, "text", "source", "lang", "n_chars").join(F.broadcast(picked), key)  # at most 2 x size + pool rows
-    got = _featured(rows.dropDuplicates([key]).drop(key).coalesce(8)).toArrow()
-    y = got.column("label").to_numpy().astype(float)
+    views, y = _packed(docs, chosen, key)  # at most 2 x size rows
     if not (y == 1).any() or not (y == 0).any():
         return Model(flat, flat)
-    raw = {c: got.column(c).to_pylist() for c in "xvpq"}
-    del got
-    order = sorted(range(len(y)), key=lambda k: (y[k], zlib.crc32(raw["x"][k]), zlib.crc32(raw["q"][k])))
-    rows_of = lambda a, b: Rows([np.frombuffer(raw[a][k], np.int32) for k in order], [np.frombuffer(raw[b][k], np.float32) for k in order])
+    known = labels.where(F.col(label).isin(0, 1)).select(key).distinct()
+    free = narrow(docs, key).where(F.col(key).isNotNull()).join(known, key, "left_anti").distinct().count()
+
+    def more(model: Model, turn: int) -> list[tuple[Rows, np.ndarray]]:
+        quota = max(1, min(pseudo, free // 8) * (turn + 1) // ROUNDS)
+        by_text, by_page = _surest(docs, known, model, quota, key)
+        keys = [*dict.fromkeys([*by_text, *by_page])]
+        if not keys:
+            return [(Rows([]), np.empty(0))] * 2
+        # both labels of a document in one number: from the text view, and from the page view
+        both = [(k, 3 * by_text.get(k, 2) + by_page.get(k, 2)) for k in keys]
+        rows, codes = _packed(docs, both, key)  # at most 4 x quota rows
+        out = []
+        for k, of in enumerate((codes % 3, codes // 3)):  # each view learns from the other
+            has = np.flatnonzero(of < 2)
+            out.append((rows[k].take(has), of[has].astype(float)))
+        return out
+
     # the sample is capped class by class; calibration is to the labels' own shares
     stands = (n0 / min(n0, size), n1 / min(n1, size))
-    return cotrain(rows_of("x", "v"), rows_of("p", "q"), y[order], stands=stands)
+    return cotrain(*views, y.astype(float), more if free else None, stands=stands)
 
 
 def score(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",), scores: bool = True) -> DataFrame:

@@ -387,6 +387,20 @@ def test_quality_scores_keep_to_the_labels_shares(spark, size):
     assert 0.8 < np.mean(scores) < 0.9
 
 
+def test_quality_learns_from_all_unlabelled_texts(spark):
+    """Letters that no labelled text has, in 20 of 2,400 unlabelled documents, whose page tells their class."""
+    rng = random.Random(9)
+    free = [r[0] for r in spark.range(1000, 3400).orderBy(F.xxhash64(F.lit(7), F.col("id")), "id").collect()]
+    words = lambda *letters: " ".join("".join(rng.choice(x) for _ in range(5)) for x in letters * 20)
+    rows = [(k, words("abcd" if k % 2 else "wxyz"), "en", f"s{k % 2}", 119) for k in range(400)]
+    rows += [(k, words("abcd", "wxyz"), "en", "other", 119) for k in free[:-20]]
+    rows += [(k, words("жщюя"), "en", "s1", 119) for k in free[-20:]]
+    table = spark.createDataFrame(rows, SCHEMA).repartition(4)
+    labels = spark.createDataFrame([(k, k % 2) for k in range(400)], "doc_id long, quality int")
+    got = by_id(quality.score(table, quality.train(table, labels)))
+    assert min(got[k]["text_score"] for k in free[-20:]) > 0.8
+
+
 def test_quality_without_two_classes(spark, docs):
     for labels in ([], [(1, 1, 0)], [(1, None, None)], [(999, 0, 0), (998, 1, 0)]):
         model = quality.train(docs, spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))
