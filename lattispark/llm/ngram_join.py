@@ -3,37 +3,47 @@
 1. Documents with the same set of shingles form a class; its least key stands for it from here on.
 2. Classes are grouped: each meets the least class that shares one of its lowest shingles, and
    joins its group if their sets really link. Near copies come together here in a number of
-   comparisons in proportion to theirs.
-3. The matrix holds, for each group, the union of its members' prefix shingles, with bounds on
-   the members' sizes. A prefix is the part of an ordered set of which two linked sets must share
-   some; rare shingles come first in the order.
-4. A class is matched against the matrix. How many shingles of its prefix a group's union has
-   bounds its overlap with each member. Groups other than its own that can reach the threshold
-   are opened, and the same bound is applied to their members; those that pass are compared.
-
-Steps 2 and 4 compare whole sets, so no link is lost or invented, except by a collision of
-64-bit hashes. Links within a group need no further comparison: the group is one component.
+   comparisons in proportion to theirs. Large groups are dealt into parts of bounded size.
+3. Shingles are ordered, rare ones first, by a count sketch of the whole corpus. A prefix is the
+   part of an ordered set of which two linked sets must share some. The matrix holds, for each
+   part of a group, the union of its members' prefix shingles, each with the members' sizes and
+   the most that any of them has from that shingle on.
+4. A class is matched against the matrix. The first shingle that two sets share bounds their
+   overlap by what either has from there on, so only parts of groups are opened in which a member
+   of a fitting size can reach the threshold by some shingle of both prefixes.
+5. An opened part holds the union of its members' whole sets. A class shares so many shingles with
+   the union; if these are enough, its overlap with every member is counted.
+
+Steps 2 and 5 compare whole sets, so no link is lost or invented, except by a collision of
+64-bit hashes. Links within a group need no further comparison, since the group is one component
+already, and of the links between a class and a part of another group the strongest is enough.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Codes, arrow_stage, bitmap, documents, drop, held, narrow, rolled, table
+from .common import Codes, arrow_stage, batches, bitmap, bounded, documents, drop, held, narrow, rolled, table
 
 WIDTH, PERCENT = 4, 85
 #: Lowest shingles by which classes are grouped, and how many of them must agree.
 LOWEST, AGREE = 12, 4
-#: Frequent shingles that are ordered last: those seen so often in one batch, and the number of
-#: them that is sent to the executors. Only speed depends on them.
-SEEN, FREQUENT = 4, 300_000
-#: Texts that are compared with one other in a task, or so.
-MEMBERS = 256
+#: The count sketch has 2**SKETCH counters, in blocks of 2**BLOCK. Its size is fixed; the order of
+#: shingles, and so speed alone, depends on it.
+SKETCH, BLOCK = 24, 18
+#: Documents that look into one part of a group in a task, or so, and shingles of such a part, or so.
+MEMBERS, PART = 256, 100_000
+#: Shingles that are in more prefixes are matched by sizes too, in bins of this ratio.
+CROWD, BIN = 256, 1.03
+#: Rounds in which components must settle; each about halves the longest chain.
+ROUNDS = 60
 
 
 def lowered(text: str | None) -> bytes:
@@ -61,67 +71,76 @@ def _lists(parts: list[np.ndarray], kind=None) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), pa.array(flat.view(np.int64) if flat.dtype == np.uint64 else flat.astype(np.int64), pa.int64()))
 
 
+def _slots(tokens: np.ndarray) -> np.ndarray:
+    return (tokens >> np.uint64(64 - SKETCH)).astype(np.int64)
+
+
 def _marks(df: DataFrame, key: str, text: str, width: int) -> DataFrame:
-    """A row of (key, n, digest) for each row, and rows without n of shingles seen often in one batch."""
+    """A row of (key, n, digest) for each row, and rows without n: what a task adds to a block of the sketch."""
     kind = df.schema[key].dataType.simpleString()
 
-    def make():
-        codes = Codes()
-
-        def each(batch: pa.RecordBatch):
+    def run(stream):
+        codes, sketch = Codes(), np.zeros(1 << SKETCH, np.uint16)
+        keys = None
+        for batch in batches()(stream):
             keys = batch.column(batch.schema.get_field_index(key))
             sets = [shingle_set(t, codes, width) for t in batch.column(batch.schema.get_field_index(text)).to_pylist()]
-            none = np.empty(0, np.int64)
+            places, counts = np.unique(_slots(np.concatenate(sets)), return_counts=True) if sets else ([], 0)
+            sketch[places] = np.minimum(sketch[places] + counts, 65535)
             yield pa.RecordBatch.from_pydict({
                 key: keys, "n": pa.array([len(s) for s in sets], pa.int64()),
                 "digest": pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets], pa.binary()),
-                "tokens": _lists([none] * len(sets)), "counts": _lists([none] * len(sets)),
+                "block": pa.nulls(len(sets), pa.int32()),
             })
-            tokens, counts = np.unique(np.concatenate(sets), return_counts=True) if sets else (none, none)
-            often = counts >= SEEN
-            if often.any():
-                yield pa.RecordBatch.from_pydict({
-                    key: pa.nulls(1, keys.type), "n": pa.nulls(1, pa.int64()), "digest": pa.nulls(1, pa.binary()),
-                    "tokens": _lists([tokens[often]]), "counts": _lists([counts[often].astype(np.int64)]),
-                })
+        pack = zstandard.ZstdCompressor(level=1)
+        for k, part in enumerate(sketch.reshape(-1, 1 << BLOCK)):
+            if keys is not None and part.any():
+                yield pa.RecordBatch.from_pydict({key: pa.nulls(1, keys.type), "n": pa.nulls(1, pa.int64()), "digest": pa.array([pack.compress(part.tobytes())], pa.binary()), "block": pa.array([k], pa.int32())})
 
-        return each
+    bounded(df.sparkSession)
+    return narrow(df, key, text).mapInArrow(run, f"`{key}` {kind}, n long, digest binary, block int")
 
-    return arrow_stage(narrow(df, key, text), make, f"`{key}` {kind}, n long, digest binary, tokens array<long>, counts array<long>")
 
+def _sketch(marks: DataFrame) -> np.ndarray:
+    """How frequent the shingles of each counter are together, in 256 steps: exact below 64, then by
+    twelfths of a doubling."""
 
-def _frequent(marks: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Frequent shingles, ascending, and their counts; at most FREQUENT of them."""
-    pairs = marks.where("n is null").select(F.explode(F.arrays_zip("tokens", "counts")).alias("x")).groupBy(F.col("x.tokens").alias("token")).agg(F.sum("x.counts").alias("count"))
-    top = pairs.orderBy(F.desc("count"), "token").limit(FREQUENT).toArrow()
-    tokens = top.column("token").to_numpy().astype(np.int64).view(np.uint64)
-    order = np.argsort(tokens)
-    return tokens[order], top.column("count").to_numpy().astype(np.int64)[order]
+    def run(stream):
+        sums: dict[int, np.ndarray] = {}  # as many as there are blocks at most
+        for batch in stream:
+            for k, raw in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                part = np.frombuffer(zstandard.decompress(raw.as_py()), np.uint16)
+                sums[k] = part.astype(np.int64) if k not in sums else sums[k] + part
+        for k, part in sums.items():
+            steps = np.where(part < 64, part, 64 + 12 * np.log2(np.maximum(part, 64) / 64))
+            yield pa.RecordBatch.from_pydict({"block": pa.array([k], pa.int32()), "steps": pa.array([np.minimum(steps, 255).astype(np.uint8).tobytes()], pa.binary())})
 
+    rows = marks.where("n is null").select("block", "digest").repartition("block")
+    out = np.zeros((1 << (SKETCH - BLOCK), 1 << BLOCK), np.uint8)
+    made = rows.mapInArrow(run, "block int, steps binary").toArrow()  # as many bytes as there are counters
+    for k, steps in zip(made.column("block").to_pylist(), made.column("steps").to_pylist(), strict=True):
+        out[k] = np.frombuffer(steps, np.uint8)
+    return out.reshape(-1)
 
-def _ordered(tokens: np.ndarray, frequent: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
-    """Rare shingles first, by hash; then frequent ones by count."""
-    known, counts = frequent
-    if not len(known):
-        return tokens
-    at = np.minimum(np.searchsorted(known, tokens), len(known) - 1)
-    weight = np.where(known[at] == tokens, counts[at], 0)
-    return tokens[np.argsort(weight, kind="stable")]
 
+def _ordered(tokens: np.ndarray, sketch: np.ndarray) -> np.ndarray:
+    """Rare shingles first; those of one step by hash."""
+    return tokens[np.argsort(sketch[_slots(tokens)], kind="stable")]
 
-def _prefixes(df: DataFrame, key: str, text: str, width: int, percent: int, frequent) -> DataFrame:
+
+def _prefixes(df: DataFrame, key: str, text: str, width: int, percent: int, sketch: np.ndarray) -> DataFrame:
     kind = df.schema[key].dataType.simpleString()
-    sent = df.sparkSession.sparkContext.broadcast(frequent)
+    sent = df.sparkSession.sparkContext.broadcast(sketch)
 
     def make():
-        codes, often = Codes(), sent.value
+        codes, steps = Codes(), sent.value
 
         def each(batch: pa.RecordBatch) -> pa.RecordBatch:
             sets = [shingle_set(t, codes, width) for t in batch.column(batch.schema.get_field_index(text)).to_pylist()]
             return pa.RecordBatch.from_pydict({
                 key: batch.column(batch.schema.get_field_index(key)), "n": pa.array([len(s) for s in sets], pa.int64()),
                 "low": _lists([s[:LOWEST] for s in sets]),
-                "prefix": _lists([_ordered(s, often)[: len(s) - at_least(len(s), percent) + 1] if len(s) else s for s in sets]),
+                "prefix": _lists([_ordered(s, steps)[: len(s) - at_least(len(s), percent) + 1] if len(s) else s for s in sets]),
             })
 
         return each
@@ -147,40 +166,68 @@ def _wanted(docs: DataFrame, key: str, text: str, ids: DataFrame) -> DataFrame:
     return arrow_stage(docs.select(F.col(key).alias("doc"), F.col(text).alias("text"), F.xxhash64(key).alias("h")), make, f"doc {kind}, text string")
 
 
-def _linked(pairs: DataFrame, docs: DataFrame, key: str, text: str, width: int, percent: int) -> DataFrame:
-    """Of pairs (a, b), those whose whole sets link.
-
-    The texts of all a of one b come to one task, after that of b, and are compared one by one
-    as they stream in. A b of many pairs has its a dealt out, MEMBERS to a task or so.
+class Part:
+    """Members of a part of a group, with the union of their sets and who has which of its shingles."""
+
+    def __init__(self, members: list[tuple[object, np.ndarray]], percent: int):
+        self.docs, sets = [d for d, _ in members], [s for _, s in members]
+        self.percent, self.sizes = percent, np.array([len(s) for s in sets], np.int64)
+        tokens, who = np.concatenate(sets), np.repeat(np.arange(len(sets)), self.sizes)
+        order = np.argsort(tokens, kind="stable")
+        self.who = who[order]
+        self.union, self.start, self.count = np.unique(tokens[order], return_index=True, return_counts=True)
+
+    def best(self, own: np.ndarray):
+        """The member that links with a set and shares most with it (of equals, the first), or None."""
+        fits = self.sizes[(100 * self.sizes >= self.percent * len(own)) & (self.percent * self.sizes <= 100 * len(own))]
+        if not len(fits) or not len(own):
+            return None
+        at = np.minimum(np.searchsorted(self.union, own), len(self.union) - 1)
+        at = at[self.union[at] == own]
+        if len(at) * (100 + self.percent) < self.percent * (len(own) + int(fits.min())):
+            return None  # the union bounds the overlap with each member
+        count = self.count[at]
+        places = np.repeat(self.start[at] - (np.cumsum(count) - count), count) + np.arange(count.sum())
+        shared = np.bincount(self.who[places], minlength=len(self.sizes))
+        links = 100 * shared >= self.percent * (len(own) + self.sizes - shared)
+        return self.docs[int(np.argmax(np.where(links, shared, -1)))] if links.any() else None
+
+
+def _linked(members: DataFrame, queries: DataFrame, docs: DataFrame, key: str, text: str, width: int, percent: int) -> DataFrame:
+    """Of queries (grp, sub, doc), the pairs (a, b) of each and the member (grp, sub, doc) of its part
+    that it links with by whole sets and shares most with.
+
+    Only parts that are asked for are read. The texts of a part's members come to one task, before
+    those of its queries, which are compared as they stream in. The queries of a part of many are
+    dealt out, MEMBERS to a task or so, and its members go to each of these.
     """
     kind = docs.schema[key].dataType.simpleString()
-    sizes = pairs.groupBy("b").agg(F.ceil(F.count(F.lit(1)) / MEMBERS).alias("parts"))
-    dealt = pairs.join(sizes, "b").select("a", "b", F.pmod(F.xxhash64("a"), "parts").cast("int").alias("part"))
-    seats = dealt.select(F.col("b").alias("hub"), "part", F.col("a").alias("doc"), F.lit(1).alias("rank"))
-    seats = table(seats.unionByName(dealt.select(F.col("b").alias("hub"), "part", F.col("b").alias("doc"), F.lit(0).alias("rank")).distinct()), "seats")
+    # of so many shingles that a part has, and so many queries: both bounded but for one long text
+    deals = queries.groupBy("grp", "sub").agg(F.ceil(F.count(F.lit(1)) / MEMBERS).cast("int").alias("deals"))
+    asked = queries.join(deals, ["grp", "sub"]).select("grp", "sub", F.pmod(F.xxhash64("doc"), "deals").cast("int").alias("deal"), "doc", F.lit(1).alias("rank"))
+    there = members.join(deals, ["grp", "sub"]).select("grp", "sub", F.explode(F.sequence(F.lit(0), F.col("deals") - 1)).alias("deal"), "doc", F.lit(0).alias("rank"))
+    seats = table(there.unionByName(asked), "seats")
     texts = _wanted(docs, key, text, seats.select("doc").distinct())
-    rows = seats.join(texts, "doc").repartition("hub", "part").sortWithinPartitions("hub", "part", "rank")
+    rows = seats.join(texts, "doc").repartition("grp", "sub", "deal").sortWithinPartitions("grp", "sub", "deal", "rank", "doc")
 
     def make():
         codes = Codes()
-        state: dict = {"at": None, "sets": []}
+        state: dict = {"at": None, "members": [], "part": None}
 
         def each(batch: pa.RecordBatch) -> pa.RecordBatch:
             left, right = [], []
-            for hub, part, doc, rank, value in zip(*(batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("hub", "part", "doc", "rank", "text")), strict=True):
-                if (hub, part) != state["at"]:
-                    state["at"], state["sets"] = (hub, part), []
+            for grp, sub, deal, doc, rank, value in zip(*(batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("grp", "sub", "deal", "doc", "rank", "text")), strict=True):
+                if (grp, sub, deal) != state["at"]:
+                    state.update(at=(grp, sub, deal), members=[], part=None)
                 own = shingle_set(value, codes, width)
                 if rank == 0:
-                    state["sets"].append(own)
+                    state["members"].append((doc, own))
                     continue
-                for other in state["sets"]:
-                    shared = len(own) + len(other) - len(np.union1d(own, other))
-                    if shared and 100 * shared >= percent * (len(own) + len(other) - shared):
-                        left.append(doc)
-                        right.append(hub)
-                        break
-            keys = batch.schema.field("hub").type
+                state["part"] = state["part"] or Part(state["members"], percent)
+                if (found := state["part"].best(own)) is not None:
+                    left.append(doc)
+                    right.append(found)
+            keys = batch.schema.field("doc").type
             return pa.RecordBatch.from_pydict({"a": pa.array(left, keys), "b": pa.array(right, keys)})
 
         return each
@@ -190,7 +237,7 @@ def _linked(pairs: DataFrame, docs: DataFrame, key: str, text: str, width: int,
     return links
 
 
-def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     """(doc, component): for each key of an edge (a, b), the least key that it reaches.
 
     Large stars and small stars take turns until nothing changes; the minimum of a key's
@@ -218,66 +265,65 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
 
 
 def _starts(rows: DataFrame) -> DataFrame:
-    """Pairs of a class and, of the classes that are least among those with one of its lowest
-    shingles, the one that is so for most of them, and for at least AGREE."""
+    """Pairs of a class (doc) and, of the classes that are least among those with one of its lowest
+    shingles, the one (grp) that is so for most of them, and for at least AGREE."""
     low = rows.select("doc", "n", F.explode("low").alias("token"))
     hubs = low.groupBy("token").agg(F.min("doc").alias("hub"), F.max("doc").alias("last")).where("hub < last").select("token", "hub")
     met = low.join(hubs, "token").where("doc <> hub").groupBy("doc", "hub", "n").count()
     met = met.where(F.col("count") >= F.least(F.lit(AGREE), F.col("n")))
-    return met.groupBy(F.col("doc").alias("a")).agg(F.max_by("hub", F.struct("count", -F.col("hub"))).alias("b"))
+    return met.groupBy("doc").agg(F.min_by("hub", F.struct(-F.col("count"), F.col("hub"))).alias("grp"))
 
 
-def _reaches(shared: Column, x: Column, y: Column, percent: int) -> Column:
-    """Whether sets of sizes x and y can link, of whose prefixes so many shingles are the same.
+def _parts(groups: DataFrame, sizes: DataFrame) -> DataFrame:
+    """(doc, grp, sub): the members of groups (doc, component), dealt into parts of PART shingles or so."""
+    members = groups.join(sizes, "doc").groupBy("doc", F.col("component").alias("grp")).agg(F.sum("n").alias("n"))
+    parts = members.groupBy("grp").agg(F.ceil(F.sum("n") / PART).alias("parts"))
+    return members.join(parts, "grp").select("doc", "grp", F.pmod(F.xxhash64("doc"), "parts").cast("int").alias("sub"))
 
-    The prefix that ends first in the order has all of its common shingles among those; after it,
-    its set has one less than at_least() left.
-    """
-    least = lambda n: F.floor((n * percent + 99) / 100)
-    return (shared - 1 + F.greatest(least(x), least(y))) * (100 + percent) >= percent * (x + y)
 
+def _bin(n: Column) -> Column:
+    return F.floor(F.log(F.greatest(n, F.lit(1)).cast("double")) / math.log(BIN)).cast("int")
 
-def _reaches_some(shared: Column, x: Column, small: Column, large: Column, percent: int) -> Column:
-    """Whether _reaches() can hold for x and any size from small to large.
 
-    Up to x it is the least size that counts, as the prefix of x bounds all. Beyond x, at_least()
-    rounds up, so that the bound goes up and down with the size; with at_least() at its most before
-    rounding it only grows, and the largest size counts.
-    """
-    beyond = (100 * (shared - 1) + large * percent + 99) * (100 + percent) >= 100 * percent * (x + large)
-    return ((small <= x) & _reaches(shared, x, small, percent)) | ((large > x) & beyond)
+def _bins(n: Column, small: Column, large: Column, rest: Column, percent: int) -> Column:
+    """Bins of the sizes that a set can have that links with one of n shingles, and of which small to
+    large fit, if the first shingle that both share leaves `rest` to the set."""
+    low = lambda b: F.greatest(F.floor(F.pow(F.lit(BIN), b.cast("double"))) - 1, small)  # noqa: E731  never above the bin's least size
+    return F.filter(F.sequence(_bin(small), _bin(large)), lambda b: rest * (100 + percent) >= percent * (n + low(b)))
 
 
 def _opened(rows: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of classes in different groups that the matrix can't rule out."""
-    cells = rows.select("doc", "n", "grp", F.explode("prefix").alias("token"))
-    crossed = cells.groupBy("token").agg(F.min("grp").alias("g1"), F.max("grp").alias("g2")).where("g1 < g2").select("token")
-    cells = table(cells.join(crossed, "token", "left_semi").select("token", "doc", "n", "grp"), "cells")
-    matrix = cells.groupBy("token", F.col("grp").alias("other")).agg(F.min("n").alias("least"), F.max("n").alias("most"))
-    fits = (F.col("most") * 100 >= percent * F.col("n")) & (F.col("least") * percent <= 100 * F.col("n"))
-    hit = cells.join(matrix, "token").where((F.col("other") != F.col("grp")) & fits)
-    # a group of a size range; which of its sizes there are isn't known
-    bound = hit.groupBy(F.col("doc").alias("a"), F.col("n").alias("na"), "other").agg(F.count(F.lit(1)).alias("shared"), F.min("least").alias("least"), F.max("most").alias("most"))
-    small = F.greatest("least", F.floor((F.col("na") * percent + 99) / 100))
-    large = F.least("most", F.floor(F.col("na") * 100 / percent))
-    groups = bound.where((small <= large) & _reaches_some(F.col("shared"), F.col("na"), small, large, percent)).select("a", "na", "other")
-    groups = table(groups, "opened")
-    mine = cells.select("token", F.col("doc").alias("a")).join(groups, "a")
-    members = cells.select("token", F.col("grp").alias("other"), F.col("doc").alias("b"), F.col("n").alias("nb"))
-    pairs = mine.join(members, ["token", "other"]).where("a > b").groupBy("a", "b", "na", "nb").agg(F.count(F.lit(1)).alias("shared"))
-    fit = (F.col("nb") * 100 >= percent * F.col("na")) & (F.col("na") * 100 >= percent * F.col("nb"))
-    pairs = table(pairs.where(fit & _reaches(F.col("shared"), F.col("na"), F.col("nb"), percent)).select("a", "b"), "pairs")
-    drop(cells, groups)
-    return pairs
-
-
-def join(df: DataFrame, key: str = "doc_id", text: str = "text", width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
+    """(grp, sub, doc): parts of other groups that the matrix can't rule out for a class. Of two
+    groups, classes of the one with the greater key look into the other."""
+    least = lambda n: F.floor((n * percent + 99) / 100)
+    most = lambda n: F.floor(n * 100 / percent)
+    cells = rows.select("doc", "n", "grp", "sub", F.posexplode("prefix").alias("pos", "token")).withColumn("rest", F.col("n") - F.col("pos")).drop("pos")
+    crossed = cells.groupBy("token").agg(F.min("grp").alias("g1"), F.max("grp").alias("g2"), F.count(F.lit(1)).alias("crowd")).where("g1 < g2").select("token", (F.col("crowd") > CROWD).alias("crowded"))
+    cells = table(cells.join(crossed, "token"), "cells")
+    # a pair's rows meet at (token, bin of the class, bin of the member): where a token is crowded,
+    # either side goes only to bins in which its own rest is enough
+    one = F.array(F.lit(-1))
+    x, y = F.col("n"), F.col("least")
+    asks = cells.select("token", "doc", "n", "rest", "grp", F.when(F.col("crowded"), _bin(x)).otherwise(-1).alias("bx"), F.explode(F.when(F.col("crowded"), _bins(x, least(x), most(x), F.col("rest"), percent)).otherwise(one)).alias("by"))
+    by = F.when(F.col("crowded"), _bin(F.col("n"))).otherwise(-1).alias("by")
+    matrix = cells.groupBy("token", "crowded", F.col("grp").alias("other"), "sub", by).agg(F.min("n").alias("least"), F.max("n").alias("most"), F.max("rest").alias("room"))
+    matrix = matrix.select("token", "other", "sub", "least", "most", "room", "by", F.explode(F.when(F.col("crowded"), _bins(y, least(y), most(F.col("most")), F.col("room"), percent)).otherwise(one)).alias("bx"))
+    fits = (F.col("most") * 100 >= percent * x) & (y * percent <= 100 * x)
+    reach = F.least("rest", "room") * (100 + percent) >= percent * (x + F.greatest(y, least(x)))
+    hit = asks.join(matrix, ["token", "bx", "by"]).where((F.col("other") < F.col("grp")) & fits & reach)
+    opened = table(hit.select(F.col("other").alias("grp"), "sub", "doc").distinct(), "opened")
+    drop(cells)
+    return opened
+
+
+def join(df: DataFrame, key: str = "doc_id", text: str = "text", width: int = WIDTH, percent: int = PERCENT, rounds: int = ROUNDS) -> DataFrame:
     """One row per row of df: key, n_shingles, component (the least key that it reaches).
 
     Two documents link when 100 * shared >= percent * united shingles. A null or empty text has
     no shingles and links with nothing; its component is its own key. Rows with a null key take
-    no part, and their component is null. Rows that share a key are one document. Other columns
-    are left out.
+    no part, and their component is null. Rows that share a key are one document. Keys may be of
+    any type that has an order. An empty table gives no rows, a text of any length is one set, and
+    other columns are left out. If components don't settle in so many rounds, that is an error.
     """
     docs = narrow(df, key, text)
     marks = table(_marks(docs, key, text, width), "marks")
@@ -285,16 +331,19 @@ def join(df: DataFrame, key: str = "doc_id", text: str = "text", width: int = WI
     classes = table(rows.where(F.col(key).isNotNull() & (F.col("n") > 0)).groupBy("digest").agg(F.min(key).alias("doc")), "classes")
     whole = docs.where(F.col(key).isNotNull())
     heads = classes.select(F.col("doc").alias(key)).distinct()
-    prefixes = _prefixes(whole, key, text, width, percent, _frequent(marks))
+    prefixes = _prefixes(whole, key, text, width, percent, _sketch(marks))
     prefixes = table(prefixes.where("n > 0").join(heads, key, "left_semi").withColumnRenamed(key, "doc"), "prefixes")
-    starts = table(_starts(prefixes), "pairs")
-    links = _linked(starts, whole, key, text, width, percent)
-    groups = table(components(links), "groups")
-    grouped = prefixes.join(groups, "doc", "left").select("doc", "n", "prefix", F.coalesce("component", "doc").alias("grp"))
+    starts = table(_starts(prefixes), "pairs").withColumn("sub", F.lit(0))
+    hubs = starts.select("grp", "sub", F.col("grp").alias("doc")).distinct()
+    links = _linked(hubs, starts, whole, key, text, width, percent)
+    groups = table(_parts(components(links, rounds), prefixes.select("doc", "n")), "groups")
+    grouped = prefixes.join(groups, "doc", "left").select("doc", "n", "prefix", F.coalesce("grp", "doc").alias("grp"), F.coalesce("sub", F.lit(0)).alias("sub"))
     opened = _opened(grouped, percent)
-    more = _linked(opened, whole, key, text, width, percent)
-    final = components(links.unionByName(more))
-    drop(starts, links, more, groups, opened, prefixes)
+    # groups of one class have no row of their own among groups
+    members = opened.select("grp", "sub").distinct().join(groups, ["grp", "sub"], "left").select("grp", "sub", F.coalesce("doc", "grp").alias("doc"))
+    more = _linked(members, opened, whole, key, text, width, percent)
+    final = components(links.unionByName(more), rounds)
+    drop(links, more, groups, opened, prefixes)
     named = classes.join(final, "doc", "left").select("digest", F.coalesce("component", "doc").alias("component"))
     out = rows.select(key, "n", "digest").join(named, "digest", "left")
     component = F.when(F.col(key).isNotNull(), F.when(F.col("n") > 0, F.col("component")).otherwise(F.col(key)))

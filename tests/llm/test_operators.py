@@ -464,6 +464,11 @@ def plain_join(texts):
     return {k: (len(sets[k]), find(k)) for k in sets}
 
 
+def by_hash(monkeypatch):
+    """Shingles are ordered by hash alone."""
+    monkeypatch.setattr(ngram_join, "_sketch", lambda marks: np.zeros(1 << ngram_join.SKETCH, np.uint8))
+
+
 @pytest.mark.parametrize("seed", [3, 4])
 def test_join(spark, seed, monkeypatch):
     rows = corpus(seed, 50)
@@ -478,7 +483,8 @@ def test_join(spark, seed, monkeypatch):
     got = {r["doc_id"]: (r["n_shingles"], r["component"]) for r in ngram_join.join(table).collect()}
     assert got == want
     monkeypatch.setattr(ngram_join, "AGREE", 99)  # nothing is grouped: the matrix finds every link
-    monkeypatch.setattr(ngram_join, "SEEN", 10**9)
+    by_hash(monkeypatch)
+    monkeypatch.setattr(ngram_join, "CROWD", 0)  # every shingle is matched by sizes
     assert {r["doc_id"]: (r["n_shingles"], r["component"]) for r in ngram_join.join(table).collect()} == want
 
 
@@ -488,25 +494,79 @@ def test_join_with_a_member_of_inner_size(spark, monkeypatch):
     p, c, q = words[:3], words[3:20], words[20:]
     texts = {1: p[:2] + c[:15], 2: p[:2] + c, 3: p + c, 4: c + q}
     rows = [(k, " ".join(w), "en", "s", 1) for k, w in texts.items()]
-    monkeypatch.setattr(ngram_join, "SEEN", 10**9)  # shingles are ordered by hash alone
+    by_hash(monkeypatch)
     got = {r["doc_id"]: r["component"] for r in ngram_join.join(spark.createDataFrame(rows, SCHEMA), width=1).collect()}
     assert got == dict.fromkeys(texts, 1)
 
 
-def test_bound_of_a_group_misses_no_size(spark):
-    """Against every size, one by one; ends are drawn."""
-    rng = random.Random(5)
-    cases = [(10, 3, 9, 11), (18, 1, 17, 20)]
-    for _ in range(4000):
-        x = rng.randrange(1, 400)
-        low, high = ngram_join.at_least(x), x * 100 // 85
-        a, b = sorted((rng.randint(low, high), rng.randint(low, high)))
-        cases.append((x, rng.randint(1, x - low + 1), a, b))
-    reach = lambda x, shared, y: (shared - 1 + max(ngram_join.at_least(x), ngram_join.at_least(y))) * 185 >= 85 * (x + y)
-    table = spark.createDataFrame(cases, "x long, shared long, a long, b long")
-    opens = ngram_join._reaches_some(*map(F.col, ("shared", "x", "a", "b")), 85)
-    missed = [r for r in table.withColumn("opens", opens).collect() if not r["opens"] and any(reach(r["x"], r["shared"], y) for y in range(r["a"], r["b"] + 1))]
-    assert not missed
+def test_join_with_a_group_of_two_sizes(spark, monkeypatch):
+    """Document 50 links with 2 only, which is in a group with 1 and 3."""
+    ws = sorted((f"w{k}" for k in range(400)), key=lambda w: int(ngram_join.shingle_set(w, Codes(), 1)[0]))
+    x, u, c, d, s = ws[:11], ws[11:16], ws[16:21], ws[21:25], ws[100:195]
+    texts = {50: u + s, 2: x + s, 3: c + x + s[:91], 1: d + x[:9] + s[:87]}
+    rows = [(k, " ".join(w), "en", "s", 1) for k, w in texts.items()]
+    by_hash(monkeypatch)
+    got = {r["doc_id"]: r["component"] for r in ngram_join.join(spark.createDataFrame(rows, SCHEMA).repartition(4, "doc_id"), width=1).collect()}
+    assert got == dict.fromkeys(texts, 1)
+
+
+def plain_components(sets, percent=85):
+    parent = {k: k for k in sets}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a in sets:
+        for b in sets:
+            if a < b and sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b]):
+                x, y = sorted((find(a), find(b)))
+                parent[y] = x
+    return {k: find(k) for k in sets}
+
+
+@pytest.mark.parametrize("crowd,by_rank", [(0, True), (10**9, False)])
+def test_join_of_many_groups_at_the_threshold(spark, monkeypatch, crowd, by_rank):
+    """Sets of 90 to 120 words near 85 per cent of each other, in real groups of several parts; keys are strings."""
+    rng = random.Random(crowd % 7)
+    pool = [f"w{k}" for k in range(500)]
+    sets = {}
+    for family in range(12):
+        base = rng.sample(pool, 120)
+        for member in range(14):
+            size = rng.randrange(90, 121)
+            own = base[:size]
+            for _ in range(rng.choice([0, 3, 6, 7, 8, 9, 12])):
+                own[rng.randrange(size)] = rng.choice(pool)
+            sets[f"k{family:02}{member:02}"] = set(own)
+    rows = [(k, " ".join(sorted(v)), "en") for k, v in sets.items()]
+    monkeypatch.setattr(ngram_join, "CROWD", crowd)
+    monkeypatch.setattr(ngram_join, "PART", 300)
+    monkeypatch.setattr(ngram_join, "MEMBERS", 3)
+    if not by_rank:
+        by_hash(monkeypatch)
+    table = spark.createDataFrame(rows, "doc_id string, text string, lang string").repartition(4)
+    got = {r["doc_id"]: r["component"] for r in ngram_join.join(table, width=1).collect()}
+    want = plain_components(sets)
+    assert got == want
+    assert 12 < len(set(want.values())) < len(sets)
+
+
+def test_opened_parts_hold_every_link(spark, monkeypatch):
+    """With every class a group of its own, what the matrix opens holds all pairs that link."""
+    rng = random.Random(11)
+    base = [f"w{k}" for k in range(60)]
+    sets = [sorted({*rng.sample(base, rng.randrange(40, 60)), *(f"x{rng.randrange(40)}" for _ in range(rng.randrange(6)))}) for _ in range(120)]
+    numbers = {w: k for k, w in enumerate(sorted({w for s in sets for w in s}))}
+    own = [{numbers[w] for w in s} for s in sets]
+    rows = [(k, len(s), sorted(s)[: len(s) - ngram_join.at_least(len(s)) + 1], k, 0) for k, s in enumerate(own)]
+    table = spark.createDataFrame(rows, "doc long, n long, prefix array<long>, grp long, sub int")
+    links = {(b, a) for a in range(len(own)) for b in range(a) if 100 * len(own[a] & own[b]) >= 85 * len(own[a] | own[b])}
+    for crowd in (0, 10**9):
+        monkeypatch.setattr(ngram_join, "CROWD", crowd)
+        opened = {(r["grp"], r["doc"]) for r in ngram_join._opened(table, 85).collect()}
+        assert links and links <= opened
 
 
 def test_join_of_odd_tables(spark, empty):
