@@ -128,24 +128,29 @@ def _ordered(tokens: np.ndarray, sketch: np.ndarray) -> np.ndarray:
     return tokens[np.argsort(sketch[_slots(tokens)], kind="stable")]
 
 
-def _prefixes(df: DataFrame, key: str, text: str, width: int, percent: int, sketch: np.ndarray) -> DataFrame:
+def _prefixes(df: DataFrame, key: str, text: str, width: int, percent: int, sketch: np.ndarray, heads: np.ndarray) -> DataFrame:
+    """Rows (doc, n, low, prefix) of the rows with shingles whose key's hash is in the bitmap of heads.
+    A row that gets in by a false hit is a copy of one that is there; it costs work in proportion."""
     kind = df.schema[key].dataType.simpleString()
-    sent = df.sparkSession.sparkContext.broadcast(sketch)
+    sent = df.sparkSession.sparkContext.broadcast((sketch, heads))
 
     def make():
-        codes, steps = Codes(), sent.value
+        codes = Codes()
+        steps, bits = sent.value
 
         def each(batch: pa.RecordBatch) -> pa.RecordBatch:
-            sets = [shingle_set(t, codes, width) for t in batch.column(batch.schema.get_field_index(text)).to_pylist()]
+            batch = batch.filter(pa.array(held(bits, batch.column(batch.schema.get_field_index("h")).to_numpy().view(np.uint64))))
+            sets = [shingle_set(t, codes, width) for t in batch.column(batch.schema.get_field_index("text")).to_pylist()]
             return pa.RecordBatch.from_pydict({
-                key: batch.column(batch.schema.get_field_index(key)), "n": pa.array([len(s) for s in sets], pa.int64()),
+                "doc": batch.column(batch.schema.get_field_index("doc")), "n": pa.array([len(s) for s in sets], pa.int64()),
                 "low": _lists([s[:LOWEST] for s in sets]),
                 "prefix": _lists([_ordered(s, steps)[: len(s) - at_least(len(s), percent) + 1] if len(s) else s for s in sets]),
             })
 
         return each
 
-    return arrow_stage(narrow(df, key, text), make, f"`{key}` {kind}, n long, low array<long>, prefix array<long>")
+    rows = df.select(F.col(key).alias("doc"), F.col(text).alias("text"), F.xxhash64(key).alias("h"))
+    return arrow_stage(rows, make, f"doc {kind}, n long, low array<long>, prefix array<long>").where("n > 0")
 
 
 def _wanted(docs: DataFrame, key: str, text: str, ids: DataFrame) -> DataFrame:
@@ -330,9 +335,8 @@ def join(df: DataFrame, key: str = "doc_id", text: str = "text", width: int = WI
     rows = marks.where(F.col("n").isNotNull())
     classes = table(rows.where(F.col(key).isNotNull() & (F.col("n") > 0)).groupBy("digest").agg(F.min(key).alias("doc")), "classes")
     whole = docs.where(F.col(key).isNotNull())
-    heads = classes.select(F.col("doc").alias(key)).distinct()
-    prefixes = _prefixes(whole, key, text, width, percent, _sketch(marks))
-    prefixes = table(prefixes.where("n > 0").join(heads, key, "left_semi").withColumnRenamed(key, "doc"), "prefixes")
+    heads = bitmap(classes.select(F.xxhash64("doc").alias("h")), "h")
+    prefixes = table(_prefixes(whole, key, text, width, percent, _sketch(marks), heads), "prefixes")
     starts = table(_starts(prefixes), "pairs").withColumn("sub", F.lit(0))
     hubs = starts.select("grp", "sub", F.col("grp").alias("doc")).distinct()
     links = _linked(hubs, starts, whole, key, text, width, percent)
