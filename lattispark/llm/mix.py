@@ -4,9 +4,9 @@ Each source's documents are laid end to end in a random but fixed order and cut
 equal numbers of words. A source's target is a whole number of blocks. A splitting tree deals
 these exact quotas out to the output shards: a node holds a quota for each source, and its left
 child draws half of all blocks, so many of each source as a multivariate hypergeometric draw
-gives. A leaf's quotas are runs of blocks in the source's order, so the shards' draws are
-disjoint; within a shard, slices are ordered by a hash. A source whose target exceeds its size
-goes round again from its first block.
+gives. The blocks of a source are permuted, and a leaf's quotas are runs of permuted blocks, so
+the shards' draws are disjoint. A source whose target exceeds its size goes round again from its
+first permuted block. Within a shard, slices are shuffled by a hash (see shards()).
 """
 
 from __future__ import annotations
@@ -20,8 +20,14 @@ WEIGHTS = (5, 2, 1)
 SHARE, MOST = 1.5, 2.0
 #: Words of a block; the tree has 2**DEPTH shards.
 BLOCK, DEPTH = 32, 4
-#: Parts of a source's order whose sums are known before documents are ranked within them.
-BUCKETS = 1024
+#: Documents of a part of a source's order, or so; the sums of parts are known before documents are
+#: ranked within them.
+RANKED = 50_000
+#: Blocks are permuted by b -> (b * P + c) mod n, where P is the first of these primes that doesn't
+#: divide n. Products of a block's number and P fit 64 bits for up to 2**40 blocks of a source.
+PRIMES = (4_194_301, 4_194_287, 4_194_277)
+#: Parts of a shard that are shuffled apart, each in one task.
+LOTS = 16
 #: Sources up to this number are broadcast; beyond it Spark joins by shuffle.
 BROADCAST_SOURCES = 20_000
 
@@ -126,33 +132,52 @@ def split(quotas: DataFrame, depth: int = DEPTH, seed: int = 0) -> DataFrame:
 
 
 def plan(sizes: DataFrame, block: int = BLOCK, depth: int = DEPTH, seed: int = 0) -> DataFrame:
-    """One row per source: source, at, source_size, target, and ends: where each shard's run of
-    words ends in the source's order gone round and round."""
-    goal = table(targets(sizes), "targets")  # one row per source, read twice
-    one = goal.agg(F.array_sort(F.collect_list(F.struct("at", F.round(F.col("target") / block).cast("long").alias("q")))).alias("s")).select(F.transform("s", lambda x: x["q"]).alias("quotas"))
+    """One row per source: source, at, source_size, target, blocks, and ends: where each shard's run
+    of blocks ends in the source's permuted order gone round and round."""
+    goal = targets(sizes).withColumn("blocks", F.ceil(F.col("source_size") / block).cast("long"))
+    goal = table(goal, "targets")  # one row per source, read twice
+    # a turn's last block may be short, so whole turns and the rest are counted apart
+    turns = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0)
+    quota = turns * F.col("blocks") + F.round((F.col("target") - turns * F.col("source_size")) / block)
+    one = goal.agg(F.array_sort(F.collect_list(F.struct("at", quota.cast("long").alias("q")))).alias("s")).select(F.transform("s", lambda x: x["q"]).alias("quotas"))
     shards = split(one, depth, seed)
     rows = shards.select("shard", F.posexplode("quotas").alias("at", "q"))
     ends = rows.groupBy("at").agg(F.array_sort(F.collect_list(F.struct("shard", "q"))).alias("s"))
-    running = F.aggregate("s", F.struct(F.lit(0).cast("long").alias("t"), F.expr("cast(array() as array<bigint>)").alias("o")), lambda a, x: F.struct((a["t"] + x["q"]).alias("t"), F.concat(a["o"], F.array((a["t"] + x["q"]) * block)).alias("o")))["o"]
+    running = F.aggregate("s", F.struct(F.lit(0).cast("long").alias("t"), F.expr("cast(array() as array<bigint>)").alias("o")), lambda a, x: F.struct((a["t"] + x["q"]).alias("t"), F.concat(a["o"], F.array(a["t"] + x["q"])).alias("o")))["o"]
     ends = ends.select("at", running.alias("ends"))
-    most = (F.col("source_size") * MOST).cast("long")  # rounding to blocks may pass the limit by a part of one
-    return goal.join(ends, "at").withColumn("ends", F.transform("ends", lambda e: F.least(e, most)))
+    return goal.join(ends, "at")
 
 
 SLICE = "array<struct<shard:bigint,first:bigint,last:bigint,turn:bigint,place:bigint>>"
 
 
+def _permuted(number: Column, full: Column, name: Column, seed: int) -> Column:
+    """Where a block of a source comes in the source's permuted order. Its full blocks change places;
+    a short one stays the last."""
+    shift = F.pmod(F.xxhash64(F.lit(seed + 2), name), F.greatest(full, F.lit(1)))
+    prime = F.lit(PRIMES[-1]).cast("long")
+    for p in reversed(PRIMES[:-1]):
+        prime = F.when(full % p != 0, F.lit(p).cast("long")).otherwise(prime)
+    return F.when(number < full, (number * (prime % full) + shift) % full).otherwise(number)
+
+
 def mixed(sizes: DataFrame, block: int = BLOCK, depth: int = DEPTH, seed: int = 0, whole: bool = False) -> DataFrame:
     """One row per row of sizes (see sized): doc_id, source, size, source_size, target, slices, taken.
 
     slices are the words (first, one past last) that a shard takes of the document in a turn
-    through its source, with the slice's place in the shard's order; taken is their sum. With
-    whole, documents aren't cut: a turn takes all of a document where its first word is taken.
-    Rows of a source are ranked in BUCKETS parts by hash, so that no task ranks a whole source.
-    Equal rows may change places with each other. Columns carried by sizes stay. A null source is a source like any other.
+    through its source, with the slice's place in the shard's order; taken is their sum. A slice is
+    the part of a block that lies in the document. With whole, documents aren't cut: a source's
+    documents, in their random order, take the place of its blocks, and a turn takes all of a document
+    where the block of its first word is taken.
+    Rows of a source are ranked in parts of RANKED documents or so, so that no task ranks a whole source.
+    Equal rows may change places with each other. Columns carried by sizes stay. A null source is a
+    source like any other, a null key sorts first, rows that repeat a key are documents of their own,
+    and a document without words, or all of an empty table's none, gives no slices.
     """
-    rows = sizes.withColumn("h", F.xxhash64(F.lit(seed), "doc_id", "size")).withColumn("bucket", F.pmod(F.shiftright("h", 20), F.lit(BUCKETS)).cast("int"))
+    rows = sizes.withColumn("h", F.shiftrightunsigned(F.xxhash64(F.lit(seed), "doc_id", "size"), 1))
     rows = table(rows, "sizes")  # read for the sums and for the ranks
+    buckets = -(-rows.count() // RANKED) or 1  # from file footers
+    rows = rows.withColumn("bucket", F.floor(F.col("h") / float(1 << 63) * buckets).cast("long"))
     runs = rows.groupBy("source", "bucket").agg(F.sum("size").alias("n"))
     before = F.sum("n").over(Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1))
     runs = runs.select("source", "bucket", F.coalesce(before, F.lit(0)).alias("base"))
@@ -161,32 +186,42 @@ def mixed(sizes: DataFrame, block: int = BLOCK, depth: int = DEPTH, seed: int =
     within = Window.partitionBy("name", "bucket").orderBy("h", F.col("doc_id").asc_nulls_first(), "size").rowsBetween(Window.unboundedPreceding, -1)
     ranked = rows.withColumn("name", named).join(runs.select(named.alias("name"), "bucket", "base"), ["name", "bucket"])
     ranked = ranked.withColumn("start", F.col("base") + F.coalesce(F.sum("size").over(within), F.lit(0)))
-    goal = table(plan(rows.select("source", "size"), block, depth, seed), "plan").select(named.alias("name"), "source_size", "target", "ends")
+    goal = table(plan(rows.select("source", "size"), block, depth, seed), "plan").select(named.alias("name"), "source_size", "target", "blocks", "ends")
     few = goal.count() <= BROADCAST_SOURCES
     joined = ranked.join(F.broadcast(goal) if few else goal, "name")
-    begins = F.concat(F.array(F.lit(0).cast("long")), F.slice("ends", 1, F.greatest(F.size("ends") - 1, F.lit(0))))
-    spans = F.transform(F.arrays_zip(begins.alias("b"), F.col("ends").alias("e")), lambda x, i: F.struct(i.cast("long").alias("shard"), x["b"].alias("b"), x["e"].alias("e")))
     turns = F.sequence(F.lit(0).cast("long"), F.lit(int(MOST)).cast("long"))
+    start, size, blocks = F.col("start"), F.col("size"), F.col("blocks")
+    of = lambda word: F.floor(word / block).cast("long")
+    numbers = F.array(of(start)) if whole else F.sequence(of(start), of(start + size - 1))
 
     def cut(turn: Column) -> Column:
-        at = F.col("start") + turn * F.col("source_size")
-
-        def one(s: Column) -> Column:
-            if whole:
-                inside = (s["b"] <= at) & (at < s["e"])
-                first, last = F.lit(0).cast("long"), F.when(inside, F.col("size")).otherwise(0)
-            else:
-                first, last = F.greatest(s["b"] - at, F.lit(0).cast("long")), F.least(s["e"] - at, F.col("size"))
-            return F.struct(s["shard"].alias("shard"), first.alias("first"), last.alias("last"), turn.alias("turn"), F.xxhash64(F.lit(seed + 1), "doc_id", turn, s["shard"]).alias("place"))
-
-        return F.filter(F.transform("spans", one), lambda x: x["first"] < x["last"])
-
-    cuts = F.when(F.col("size") > 0, F.flatten(F.transform(turns, cut))).otherwise(F.expr(f"cast(array() as {SLICE})"))
-    out = joined.withColumn("spans", spans).withColumn("slices", cuts)
+        def one(number: Column) -> Column:
+            at = turn * blocks + (number if whole else _permuted(number, F.floor(F.col("source_size") / block).cast("long"), F.col("name"), seed))
+            # ends ascend, so those that are passed number the shard
+            shard = F.aggregate("ends", F.lit(0).cast("long"), lambda n, e: n + F.when(e <= at, 1).otherwise(0))
+            first = F.lit(0).cast("long") if whole else F.greatest(number * block - start, F.lit(0).cast("long"))
+            last = size if whole else F.least((number + 1) * block - start, size)
+            return F.struct(shard.alias("shard"), first.alias("first"), last.alias("last"), turn.alias("turn"), F.xxhash64(F.lit(seed + 1), "doc_id", turn, first, shard).alias("place"))
+
+        return F.filter(F.transform(numbers, one), lambda x: x["shard"] < (1 << depth))
+
+    cuts = F.when(size > 0, F.flatten(F.transform(turns, cut))).otherwise(F.expr(f"cast(array() as {SLICE})"))
+    out = joined.withColumn("slices", cuts)
     taken = F.aggregate("slices", F.lit(0).cast("long"), lambda a, x: a + x["last"] - x["first"])
     carried = [c for c in sizes.columns if c not in ("doc_id", "source", "size")]
     return out.select("doc_id", "source", "size", "source_size", "target", "slices", taken.alias("taken"), *carried)
 
 
+def shards(mix: DataFrame, *columns: str, lots: int = LOTS) -> DataFrame:
+    """A row per slice of mixed(): shard, lot, place, doc_id, first, last and the columns named,
+    shuffled within its shard: rows of a shard's lot come together, in the order of their place,
+    and a slice's lot follows from its place, so lots in turn are the whole shard in order."""
+    # places are uniform, so lots are even whatever the source
+    rows = mix.select("doc_id", F.explode("slices").alias("x"), *columns).select("x.shard", "x.place", "doc_id", "x.first", "x.last", *columns)
+    rows = rows.withColumn("lot", F.floor((F.col("place").cast("double") / float(1 << 64) + 0.5) * lots).cast("int"))
+    rows = rows.select("shard", "lot", "place", "doc_id", "first", "last", *columns)
+    return rows.repartition("shard", "lot").sortWithinPartitions("shard", "lot", "place")
+
+
 def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed(sized(documents(spark, sf_dir))).select("doc_id", "size", "source_size", "target", "taken")
