@@ -48,9 +48,9 @@ def sigmoid(z):
     return 1 / (1 + np.exp(-np.clip(z, -35, 35)))
 
 
-def fit(rows: Rows, y: np.ndarray, width: int, weight: np.ndarray | None = None, l2: float = 1e-4, steps: int = 200, rate: float = 0.1) -> tuple[np.ndarray, float]:
-    """Weights and intercept by Adam on the whole of the (bounded) sample."""
-    w, b = np.zeros(width), 0.0
+def fit(rows: Rows, y: np.ndarray, width: int, weight: np.ndarray | None = None, l2: float = 1e-4, steps: int = 200, rate: float = 0.1, start: tuple[np.ndarray, float] | None = None) -> tuple[np.ndarray, float]:
+    """Weights and intercept by Adam on the whole of the (bounded) sample, from a start if there is one."""
+    w, b = (start[0].astype(float), start[1]) if start else (np.zeros(width), 0.0)
     weight = np.ones(len(y)) if weight is None else weight
     weight = weight / max(weight.sum(), 1e-12)
     m, v, mb, vb = np.zeros(width), np.zeros(width), 0.0, 0.0

@@ -1,11 +1,11 @@
 """Quality by co-training.
 
-Two logistic regressions look at a document from different sides: one at its text (hashed
-character n-grams of its words, by how often they occur in so many words), one at the page's metadata
-(source, language, recorded length, and the layout of lines). Both start from the labelled
-sample. In each round, each scores every unlabelled text, labels those of either class of which
-it is surest, and hands these to the other. Each view is then calibrated on labelled rows that neither has seen, and a
-document's score is the mean of its two calibrated log-odds.
+Two logistic regressions look at a document from different sides: one at its text alone (hashed
+character n-grams of its words, by how often they occur in so many words, and how its lines are laid
+out), one at the page's metadata alone (source, language and recorded length). Both start from the labelled sample. In each round, each scores every unlabelled text, labels those of either class of which
+it is surest, and hands these to the other. Each view is then calibrated on labelled rows that neither
+has seen. As co-training takes the views to be independent given the class, a document's log-odds are
+the sum of both views' less those of the labels' shares.
 """
 
 from __future__ import annotations
@@ -19,44 +19,30 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WORD, arrow_stage, documents, drop, narrow, table, words_of
+from .common import SPACES, arrow_stage, count_words, documents, drop, narrow, table
 from .linear import Rows, fit, gram_numbers, platt, sigmoid
 from .toxicity import _texts, sampled
 
-BITS, WIDTH, SIZES = 15, 1 << 15, (1, 2, 3)
+BITS, SIZES = 15, (1, 2, 3)
+#: Columns of the text view: hashed n-grams, then the layout of lines.
+GRAMS, LAYOUT = 1 << BITS, 6
+WIDTH = GRAMS + LAYOUT
 #: Labelled rows of each class that take part in the fit, and pseudo-labels of each class that a
 #: view gets from the other in the last round, at most.
 SAMPLE, PSEUDO = 3000, 500
 ROUNDS, CONFIDENT = 4, 0.95
-SOURCES, LANGS = 64, 16
-#: Columns of the metadata view before those of source and language.
-LAYOUT = 7
-PAGE_WIDTH = LAYOUT + SOURCES + LANGS
+#: Columns of the metadata view: hashed sources and languages, and recorded lengths by octave.
+SOURCES, LANGS, LENGTHS = 4096, 256, 34
+PAGE_WIDTH = SOURCES + LANGS + LENGTHS
 #: A document is rejected below this score.
 KEEP = 0.5
 
 
-def text_view(text: str | None) -> tuple[np.ndarray, np.ndarray]:
-    """Features and, of each, how often it occurs by ten words."""
-    parts = list(gram_numbers(text, BITS, SIZES, fold=False))
-    if not parts:
-        return np.empty(0, np.int32), np.empty(0, np.float32)
-    own, counts = np.unique(np.concatenate(parts), return_counts=True)
-    return own.astype(np.int32), (counts * (10 / max(n_words(text), 1))).astype(np.float32)
-
-
-def n_words(text: str | None) -> int:
-    return sum(map(len, words_of(text)))
-
-
-def page_view(text: str | None, source: str | None, lang: str | None, n_chars: int | None) -> list[tuple[int, float]]:
-    """Metadata by column. A null source or language has a column like any other value."""
-    text = text or ""
-    lines = [x for x in text.split("\n") if WORD.search(x)]
+def layout(text: str) -> list[float]:
+    """How many lines with a word there are, how long they are, how many repeat others, and bars."""
+    lines = [x for x in text.split("\n") if x.strip(SPACES)]
     longest = max(map(len, lines), default=0)
-    size = n_chars if n_chars is not None else len(text)
-    layout = [
-        math.log1p(max(size, 0)) / 8,
+    return [
         math.log1p(len(lines)) / 4,
         math.log1p(len(text) / max(len(lines), 1)) / 6,
         1 - len(set(lines)) / len(lines) if lines else 0.0,
@@ -64,8 +50,21 @@ def page_view(text: str | None, source: str | None, lang: str | None, n_chars: i
         text.count("|") / max(len(text), 1) * 20,
         float(not lines),
     ]
+
+
+def text_view(text: str | None) -> tuple[np.ndarray, np.ndarray]:
+    """Features and their values: of an n-gram, how often it occurs by ten words."""
+    parts = list(gram_numbers(text, BITS, SIZES, fold=False)) or [np.empty(0, np.int64)]
+    own, counts = np.unique(np.concatenate(parts), return_counts=True)
+    shares = counts * (10 / max(count_words(text), 1))
+    return np.append(own, np.arange(GRAMS, WIDTH)).astype(np.int32), np.append(shares, layout(text or "")).astype(np.float32)
+
+
+def page_view(source: str | None, lang: str | None, n_chars: int | None) -> list[tuple[int, float]]:
+    """Metadata by column. A null source, language or length has a column like any other value."""
     of = lambda value, width: zlib.crc32(repr(value).encode("utf-8", "surrogatepass")) % width
-    return [*enumerate(layout), (LAYOUT + of(source, SOURCES), 1.0), (LAYOUT + SOURCES + of(lang, LANGS), 1.0)]
+    octave = 0 if n_chars is None else 1 + min(max(int(n_chars), 0).bit_length(), LENGTHS - 2)
+    return [(of(source, SOURCES), 1.0), (SOURCES + of(lang, LANGS), 1.0), (SOURCES + LANGS + octave, 1.0)]
 
 
 class View:
@@ -79,10 +78,11 @@ class View:
 
 
 class Model:
-    """Both views; without two classes of labels both give the same constant odds."""
+    """Both views, and the log-odds of the labels' shares. Without two classes of labels, both views
+    give these alone."""
 
-    def __init__(self, text: View, page: View):
-        self.text, self.page = text, page
+    def __init__(self, text: View, page: View, prior: float = 0.0):
+        self.text, self.page, self.prior = text, page, prior
 
 
 def cotrain(text: Rows, page: Rows, y: np.ndarray, more: Callable | None = None, rounds: int = ROUNDS, stands: tuple[float, float] = (1.0, 1.0)) -> Model:
@@ -96,6 +96,7 @@ def cotrain(text: Rows, page: Rows, y: np.ndarray, more: Callable | None = None,
     first = [v.take(start) for v in views]
     given = [(Rows([]), np.empty(0)), (Rows([]), np.empty(0))]
     fitted: list[tuple[np.ndarray, float]] = [(np.zeros(w), 0.0) for w in widths]
+    n1, n0 = (stands[k] * max(float((y == k).sum()), 1e-9) for k in (1, 0))
     for turn in range(rounds + 1):
         for k in (0, 1):
             extra, labels = given[k]
@@ -103,7 +104,7 @@ def cotrain(text: Rows, page: Rows, y: np.ndarray, more: Callable | None = None,
             weight = np.concatenate([np.ones(len(start)), np.full(len(labels), 0.5)])
             ones = max((weight * (target == 1)).sum(), 1e-9)
             zeros = max((weight * (target == 0)).sum(), 1e-9)
-            fitted[k] = fit(first[k].plus(extra), target, widths[k], weight * np.where(target == 1, 0.5 / ones, 0.5 / zeros), l2=1e-4, steps=150)
+            fitted[k] = fit(first[k].plus(extra), target, widths[k], weight * np.where(target == 1, 0.5 / ones, 0.5 / zeros), l2=1e-4, steps=60 if turn else 150, start=fitted[k])
         if turn == rounds or more is None:
             break
         given = more(Model(*(View(w.astype(np.float32), b) for w, b in fitted)), turn)
@@ -112,7 +113,7 @@ def cotrain(text: Rows, page: Rows, y: np.ndarray, more: Callable | None = None,
         w, b = fitted[k]
         slope, shift = platt(views[k].take(apart).dot(w) + b, y[apart], np.where(y[apart] == 1, stands[1], stands[0]))
         out.append(View(w.astype(np.float32), b, slope, shift))
-    return Model(*out)
+    return Model(*out, math.log(n1 / n0))
 
 
 def _featured(docs: DataFrame) -> DataFrame:
@@ -123,7 +124,7 @@ def _featured(docs: DataFrame) -> DataFrame:
             x, v, p, q = [], [], [], []
             for t, s, lang, n in zip(*(_texts(batch, c) for c in ("text", "source", "lang", "n_chars")), strict=True):
                 numbers, shares = text_view(t)
-                page = page_view(t, s, lang, n)
+                page = page_view(s, lang, n)
                 x.append(numbers.tobytes())
                 v.append(shares.tobytes())
                 p.append(np.array([a for a, _ in page], np.int32).tobytes())
@@ -177,10 +178,10 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", key: str =
     n1, n0 = counts.get(1, 0), counts.get(0, 0)
     flat = View(np.zeros(1), math.log((n1 + 1) / (n0 + 1)) if n1 or n0 else 1.0)
     if not n1 or not n0:
-        return Model(flat, flat)
+        return Model(flat, flat, flat.intercept)
     views, y = _packed(docs, chosen, key)  # at most 2 x size rows
     if not (y == 1).any() or not (y == 0).any():
-        return Model(flat, flat)
+        return Model(flat, flat, flat.intercept)
     known = labels.where(F.col(label).isin(0, 1)).select(key).distinct()
     free = narrow(docs, key).where(F.col(key).isNotNull()).join(known, key, "left_anti").distinct().count()
 
@@ -206,7 +207,9 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", key: str =
 
 def score(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",), scores: bool = True) -> DataFrame:
     """The columns kept, text_score, page_score and score, each the chance of label 1. Nulls in
-    any column have features of their own; every row gives one row."""
+    any column have features of their own, and a null text counts as empty; texts of any length are
+    read whole, in parts; every row gives one row, rows that repeat a key too, so an empty table
+    gives none. Other columns are left out."""
     schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep) + ", text_score double, page_score double, score double"
     inputs = ("text", "source", "lang", "n_chars")
     others = [c for c in keep if c not in inputs]
@@ -218,12 +221,12 @@ def score(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",), sc
         def each(batch: pa.RecordBatch) -> pa.RecordBatch:
             a, b = [], []
             for t, s, lang, n in zip(*(_texts(batch, c) for c in inputs), strict=True):
-                total = 0.0 if flat else sum(float(weights[g].sum(dtype=np.float64)) for g in gram_numbers(t, BITS, SIZES, fold=False))
-                a.append(total * 10 / max(n_words(t), 1))
-                b.append(0.0 if flat else sum(v * float(model.page.weights[k]) for k, v in page_view(t, s, lang, n)))
+                grams = 0.0 if flat else sum(float(weights[g].sum(dtype=np.float64)) for g in gram_numbers(t, BITS, SIZES, fold=False))
+                a.append(0.0 if flat else grams * 10 / max(count_words(t), 1) + float(weights[GRAMS:] @ np.array(layout(t or ""))))
+                b.append(0.0 if flat else sum(v * float(model.page.weights[k]) for k, v in page_view(s, lang, n)))
             x, y = model.text.odds(np.array(a)), model.page.odds(np.array(b))
             kept = {c: batch.column(batch.schema.get_field_index(c)) for c in keep}
-            return pa.RecordBatch.from_pydict(kept | {"text_score": pa.array(sigmoid(x)), "page_score": pa.array(sigmoid(y)), "score": pa.array(sigmoid((x + y) / 2))})
+            return pa.RecordBatch.from_pydict(kept | {"text_score": pa.array(sigmoid(x)), "page_score": pa.array(sigmoid(y)), "score": pa.array(sigmoid(x + y - model.prior))})
 
         return each
 

@@ -191,6 +191,31 @@ def test_mix_slices_are_disjoint_and_shards_exact(docs):
     assert len(shards) == 2**mix.DEPTH and max(shards.values()) - min(shards.values()) <= 5 * mix.BLOCK
 
 
+def test_mix_shards_draw_permuted_blocks_and_are_shuffled(docs):
+    rows = mix.mixed(mix.sized(docs))
+    got = mix.shards(rows, "source", lots=3).collect()
+    order = {}
+    for r in got:
+        order.setdefault((r["shard"], r["lot"]), []).append(r["place"])
+    assert all(p == sorted(p) for p in order.values())
+    lots = sorted(order)
+    assert all(order[a][-1] < order[b][0] for a, b in zip(lots, lots[1:], strict=False) if a[0] == b[0])
+    assert sum(r["last"] - r["first"] for r in got) == sum(r["taken"] for r in rows.collect())
+    # blocks of a long document go to shards that don't follow its words' order
+    longest = max(rows.collect(), key=lambda r: r["size"])
+    turn = [x["shard"] for x in sorted(longest["slices"], key=lambda x: x["first"]) if x["turn"] == 0]
+    assert len(set(turn)) > 2 and turn != sorted(turn)
+
+
+def test_mix_permutes_blocks(spark):
+    for full in (1, 2, 7, 96, 4_194_301):
+        few = spark.range(min(full, 5000) + 1).select(mix._permuted(F.col("id"), F.lit(full).cast("long"), F.lit("=s"), 0).alias("p")).collect()
+        got = [r["p"] for r in few]
+        assert len(set(got)) == len(got) and all(0 <= p <= full for p in got)
+        if full < 5000:
+            assert got[-1] == full and sorted(got) == list(range(full + 1))
+
+
 def test_mix_draws_are_hypergeometric(spark):
     """Many left children of one node: mean and variance of the draw, and exact sums."""
     nodes = spark.range(3000).select(F.col("id").alias("shard"), F.array(F.lit(40).cast("long"), F.lit(25).cast("long"), F.lit(0).cast("long"), F.lit(35).cast("long")).alias("quotas"))
