@@ -17,7 +17,8 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the co-trained classifier doesn't reject."""
+    """Documents that the co-trained classifier doesn't reject. Nulls are features like others, rows
+    that repeat a key are judged one by one, and an empty table stays empty."""
     model = quality.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return quality.score(docs, model, keep=COLUMNS).where(F.col("score") >= quality.KEEP).select(*COLUMNS)
 
@@ -35,22 +36,24 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document, with secrets replaced by a mark and n_chars counted anew where any was."""
+    """Every document, with secrets replaced by a mark and n_chars counted anew where any was. A null
+    text becomes empty; every row stays, and an empty table stays empty."""
     found = secrets.scan(docs, keep=("doc_id", "lang", "source", "n_chars"), redacted=True)
     count = F.when(F.size("spans") > 0, F.char_length("text").cast("long")).otherwise(F.col("n_chars"))
     return found.withColumn("n_chars", count).select(*COLUMNS)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Whole documents, as often as the mix takes them: once per turn through their source."""
+    """Whole documents, as often as the mix takes them: once per turn through their source. Rows are
+    in the shuffled order of their shards. A null source is a source of its own; documents without
+    words aren't taken, rows that repeat a key are documents of their own, and an empty table stays empty."""
     sizes = mix.sized(docs, carry=("text", "lang", "n_chars"))
-    mixed = mix.mixed(sizes, whole=True)
-    return mixed.select(*COLUMNS, F.explode("slices").alias("_slice")).select(*COLUMNS)
+    return mix.shards(mix.mixed(sizes, whole=True), "text", "lang", "source", "n_chars").select(*COLUMNS)
 
 
 def to_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Ids of every document, packed as little-endian unsigned 32-bit integers, and a hash of the
-    text that they decode to."""
+    text that they decode to. A null text has none and decodes to nothing; every row gives one."""
     path, pattern = bpe.vocabulary()
     back = bpe.decode(bpe.encode(docs, path, pattern), path)
     return back.select("doc_id", "n_tokens", "ids", F.sha2("decoded", 256).alias("text_sha256"))
