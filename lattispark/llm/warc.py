@@ -9,13 +9,14 @@ through that header and gives one nested row per capture.
 from __future__ import annotations
 
 import gzip
+import hashlib
 import re
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded, new_path
+from .common import bounded, new_path, table
 
 #: Payloads below this many bytes are always written as responses.
 REVISIT_FROM = 1000
@@ -88,7 +89,7 @@ def write(pages: DataFrame, path: str, key: str = "page_id") -> None:
 
 
 HEADER = re.compile(rb"^([^:\r\n]+):[ \t]*([^\r\n]*)\r?$", re.M)
-RECORD = "type string, id string, uri string, concurrent_to string, page string, refers_to_page string, payload_digest string, content binary"
+RECORD = "type string, id string, uri string, concurrent_to string, page string, refers_to_page string, payload_digest string, payload_bytes long, payload_sha1 string, content binary"
 
 
 def parse(data: bytes):
@@ -111,13 +112,32 @@ def parse(data: bytes):
         at = stop
 
 
+def payload(headers: dict[str, str], content: bytes) -> tuple[int | None, str | None]:
+    """Length and SHA-1 of a response's payload as it was read; nulls for other records. A payload that
+    is not as long as its HTTP header says, or not of the record's digest, is an error."""
+    if headers.get("warc-type") != "response":
+        return None, None
+    head, _, body = content.partition(b"\r\n\r\n")
+    told = re.search(rb"(?im)^content-length:[ \t]*(\d+)[ \t]*\r?$", head)
+    digest = hashlib.sha1(body).hexdigest()
+    if told and int(told[1]) != len(body):
+        raise ValueError(f"payload of {headers.get('warc-record-id')} has {len(body)} bytes instead of {int(told[1])}")
+    if headers.get("warc-payload-digest", f"sha1:{digest}") != f"sha1:{digest}":
+        raise ValueError(f"payload of {headers.get('warc-record-id')} is not of its digest")
+    return len(body), digest
+
+
 def read(spark: SparkSession, path: str) -> DataFrame:
-    """One row per record of the archives under path, gzipped or not: RECORD. Absent headers are null."""
+    """One row per record of the archives under path, gzipped or not: RECORD. Absent headers are null.
+    payload_bytes and payload_sha1 are measured from the payload of a response; a payload that doesn't
+    agree with its headers is an error. An archive without records gives no rows; equal records all stay."""
     names = [("type", "warc-type"), ("id", "warc-record-id"), ("uri", "warc-target-uri"), ("concurrent_to", "warc-concurrent-to"), ("page", "warc-x-page"), ("refers_to_page", "warc-x-refers-to-page"), ("payload_digest", "warc-payload-digest")]
 
     def run(stream):
         def batch(rows):
             columns = {c: pa.array([h.get(n) for h, _ in rows], pa.string()) for c, n in names}
+            measured = [payload(h, b) for h, b in rows]
+            columns |= {"payload_bytes": pa.array([n for n, _ in measured], pa.int64()), "payload_sha1": pa.array([d for _, d in measured], pa.string())}
             return pa.RecordBatch.from_pydict(columns | {"content": pa.array([b for _, b in rows], pa.binary())})
 
         for files in stream:
@@ -141,10 +161,10 @@ def read(spark: SparkSession, path: str) -> DataFrame:
 def assemble(rows: DataFrame) -> DataFrame:
     """One nested row per capture (a response or revisit): id, uri, page, and structs response,
     request and metadata. A capture without a request or metadata has a null there; records that
-    name no capture are left out."""
+    name no capture are left out. Nulls in other headers stay null, and no records give no rows."""
     answers = rows.where(F.col("type").isin("response", "revisit"))
     payload = F.when(F.col("type") == "response", F.expr("substring(content, position(X'0D0A0D0A', content) + 4)"))
-    answers = answers.select("id", "uri", "page", F.struct("type", "payload_digest", "refers_to_page", payload.alias("payload")).alias("response"))
+    answers = answers.select("id", "uri", "page", F.struct("type", "payload_digest", "payload_bytes", "payload_sha1", "refers_to_page", payload.alias("payload")).alias("response"))
     side = lambda kind: rows.where((F.col("type") == kind) & F.col("concurrent_to").isNotNull()).select(F.col("concurrent_to").alias("id"), F.struct(F.col("id").alias("record_id"), F.col("content").cast("string").alias("content")).alias(kind))
     return answers.join(side("request"), "id", "left").join(side("metadata"), "id", "left")
 
@@ -153,15 +173,28 @@ def _page(column: str) -> Column:
     return F.when(F.col(column) != "page:null", F.substring(F.col(column), 6, 40).cast("long"))
 
 
+def resolved(captures: DataFrame) -> DataFrame:
+    """One row per capture of assemble(): page, payload_bytes, payload_digest, record_type, refers_to,
+    where a response's length and digest are those of its payload as read. A revisit has those of
+    the response that it refers to; if there is none, or its digest or recorded length is another, that is an error."""
+    told = F.regexp_extract("metadata.content", r"payloadLength: (\d+)", 1).cast("long")
+    rows = captures.select("page", told.alias("told"), "response.type", "response.payload_digest", "response.payload_bytes", "response.payload_sha1", "response.refers_to_page")
+    bodies = rows.where("type = 'response'").select(F.col("page").alias("_page"), F.col("payload_bytes").alias("_bytes"), F.col("payload_sha1").alias("_sha1")).dropDuplicates(["_page"])
+    joined = rows.join(bodies, (F.col("type") == "revisit") & (F.col("refers_to_page") == F.col("_page")), "left")
+    n, digest = F.coalesce("payload_bytes", "_bytes"), F.coalesce("payload_sha1", "_sha1")
+    sound = (F.concat(F.lit("sha1:"), digest) == F.col("payload_digest")) & (F.col("told").isNull() | (F.col("told") == n))
+    checked = F.when(F.coalesce(sound, F.lit(False)), digest).otherwise(F.raise_error(F.concat(F.lit("no sound payload of "), F.coalesce("page", F.lit("a capture")))))
+    return joined.select(_page("page").alias("page"), n.alias("payload_bytes"), checked.alias("payload_digest"), F.col("type").alias("record_type"), _page("refers_to_page").alias("refers_to"))
+
+
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = new_path(spark, "warc")
     write(with_verdicts(spark.read.parquet(f"{sf_dir}/pages.parquet")), path)
-    captures = assemble(read(spark, path))
-    length = F.regexp_extract("metadata.content", r"payloadLength: (\d+)", 1).cast("long")
-    return captures.select(
-        _page("page").alias("page_id"), length.alias("payload_bytes"), F.regexp_replace("response.payload_digest", "^sha1:", "").alias("payload_digest"),
-        F.col("response.type").alias("record_type"), _page("response.refers_to_page").alias("refers_to"),
-    )
+    # archives are parsed once: payloads are measured as they are read, and what is left is small
+    light = F.when(F.col("type").isin("request", "metadata"), F.col("content")).alias("content")
+    records_read = read(spark, path)
+    rows = table(records_read.select(*[c for c in records_read.columns if c != "content"], light), "records")
+    return resolved(assemble(rows)).withColumnRenamed("page", "page_id")
 
 
 OP9_SQL = """
