@@ -16,6 +16,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import NumericType
 
 from .common import batches, bounded, documents, narrow
 
@@ -148,6 +150,31 @@ def _bucket(column: Column, cuts: list) -> Column:
     return F.when(coarse > 0, (coarse - 1) * step + reached(fine)).otherwise(0)
 
 
+#: Keys of each part that cuts are chosen by, where keys aren't numbers.
+SAMPLED = 50
+
+
+def _cuts(df: DataFrame, key: str, parts: int) -> list:
+    """Keys, ascending, near the quantiles. Those of keys that aren't numbers come from SAMPLED x parts
+    keys, chosen by hash; a bad choice makes parts uneven and changes no result."""
+    if isinstance(df.schema[key].dataType, NumericType):
+        found = df.agg(F.percentile_approx(key, [k / parts for k in range(1, parts)], min(1000 * parts, 100_000)).alias("e")).first()["e"]
+        return sorted(set(found or []))
+    few = df.where(F.col(key).isNotNull()).select(key).distinct().orderBy(F.xxhash64(key)).limit(SAMPLED * parts)
+    ordered = [r[0] for r in few.orderBy(key).collect()]  # in Spark's order, not Python's
+    return list(dict.fromkeys(ordered[k * len(ordered) // parts] for k in range(1, parts))) if ordered else []
+
+
+def _seats(spark: SparkSession, parts: int) -> list[int]:
+    """A number for each of so many buckets, such that Spark deals the numbers to partitions of their own."""
+    found: dict[int, int] = {}
+    size = 32 * parts
+    rows = spark.range(size).select(F.col("id").cast("int").alias("v")).select("v", F.pmod(F.hash("v"), F.lit(parts)).alias("p"))
+    for r in rows.groupBy("p").agg(F.min("v").alias("v")).collect():
+        found[r["p"]] = r["v"]
+    return [found.get(p, size + p) for p in range(parts)]
+
+
 def _with_next(df: DataFrame, key: str, parts: int) -> DataFrame:
     """Rows of (bucket, ahead, key, text), such that each bucket holds a run of keys and, with
     ahead = 1, a copy of the row that comes next after it.
@@ -155,9 +182,8 @@ def _with_next(df: DataFrame, key: str, parts: int) -> DataFrame:
     Buckets are cut at keys of the table near its quantiles, so they hold about as many rows
     each; a key of many rows makes its bucket larger, and rows are streamed, never gathered.
     """
-    edges = df.agg(F.percentile_approx(key, [k / parts for k in range(1, parts)] or [0.5], min(1000 * parts, 100_000)).alias("e"), F.min(key).alias("lo")).first()
-    lo = edges["lo"]
-    cuts = sorted({c for c in edges["e"] or [] if c != lo}) if parts > 1 else []
+    lo = df.agg(F.min(key).alias("lo")).first()["lo"]
+    cuts = [c for c in _cuts(df, key, parts) if c != lo] if parts > 1 else []
     starts = [lo, *cuts]
     column = F.col(key)
     rows = df.withColumn("bucket", F.coalesce(_bucket(column, cuts), F.lit(0)).cast("int")).withColumn("ahead", F.lit(0))
@@ -183,9 +209,11 @@ def fingerprints(df: DataFrame, key: str = "doc_id", text: str = "text", parts:
     parts = parts or max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     kind = df.schema[key].dataType.simpleString()
     placed = _with_next(rows, key, parts)
+    seats = F.array(*[F.lit(v) for v in _seats(spark, parts)])
+    placed = placed.withColumn("bucket", F.element_at(seats, F.col("bucket") + 1))  # buckets of even size, one to a partition
     bounded(spark)
     dealt = placed.repartition(parts, "bucket").sortWithinPartitions("bucket", "ahead", F.col(key).asc_nulls_first(), F.col("text").asc_nulls_first())
-    arrow_key = pa.int64() if kind == "bigint" else None
+    arrow_key = to_arrow_type(df.schema[key].dataType)
 
     def run(stream):
         held = None  # bucket, key, text and fingerprint of the row before
