@@ -74,7 +74,8 @@ NAMES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
 def measured(df: DataFrame, keep: tuple[str, ...] = ("doc_id", "source"), text: str = "text") -> DataFrame:
-    """The columns kept and the five counts of each row's text."""
+    """The columns kept and the five counts of each row's text. Texts of any length are counted whole,
+    in parts; every row gives one, rows that repeat a key too, so an empty table gives none."""
     schema = ", ".join([*(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in keep), *(f"{n} long" for n in NAMES)])
 
     def make():
@@ -129,7 +130,7 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .common import table
 
     counts = table(measured(documents(spark, sf_dir)), "rules")  # read twice: for the hosts and for the rows
-    return judged(counts).select("doc_id", *NAMES, "base_failed", "kept", "host_rate")
+    return judged(counts).select("doc_id", *NAMES, "base_failed", "kept")
 
 
 OP3_SQL = r"""

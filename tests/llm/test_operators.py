@@ -1,6 +1,7 @@
 """Each text operator against a plain version, and on nulls, empty and long texts, ties, repeated
 rows, empty tables and extra columns."""
 
+import gzip
 import hashlib
 import random
 import re
@@ -639,6 +640,27 @@ def test_warc_parse_refuses_damage():
             list(warc.parse(bad))
 
 
+def test_warc_refuses_an_altered_payload(spark, tmp_path):
+    pages = [(1, "http://a/1", "x" * 1200), (2, "http://a/2", "x" * 1200), (3, "http://a/3", "some text")]
+    warc.write(warc.with_verdicts(spark.createDataFrame(pages, "page_id long, url string, html string")), f"file://{tmp_path}/w")
+    got = sorted(tuple(r) for r in warc.resolved(warc.assemble(warc.read(spark, f"file://{tmp_path}/w"))).collect())
+    want = [(1, 1200, hashlib.sha1(b"x" * 1200).hexdigest(), "revisit", 2), (2, 1200, hashlib.sha1(b"x" * 1200).hexdigest(), "response", None), (3, 9, hashlib.sha1(b"some text").hexdigest(), "response", None)]
+    assert got == want
+    archives = [f for f in (tmp_path / "w").iterdir() if f.name.startswith("part-") and f.suffix == ".gz"]
+    whole = b"".join(gzip.decompress(f.read_bytes()) for f in archives)
+    for k, (old, new) in enumerate(((b"some text", b"same text"), (b"x" * 1200, b"x" * 1199 + b"y"))):
+        (tmp_path / f"bad{k}").mkdir()
+        (tmp_path / f"bad{k}" / "part-0.warc.gz").write_bytes(gzip.compress(whole.replace(old, new)))
+        with pytest.raises(Exception, match="is not of its digest"):
+            warc.read(spark, f"file://{tmp_path}/bad{k}").collect()
+    # a revisit whose response is another page's
+    moved = whole.replace(b"WARC-X-Refers-To-Page: page:2", b"WARC-X-Refers-To-Page: page:3")
+    (tmp_path / "moved").mkdir()
+    (tmp_path / "moved" / "part-0.warc").write_bytes(moved)
+    with pytest.raises(Exception, match="no sound payload of page:1"):
+        warc.resolved(warc.assemble(warc.read(spark, f"file://{tmp_path}/moved"))).collect()
+
+
 def test_warc_of_nothing(spark, tmp_path):
     table = spark.createDataFrame([], "page_id long, url string, html string")
     warc.write(warc.with_verdicts(table), f"file://{tmp_path}/w")
@@ -682,6 +704,78 @@ def test_fingerprint_is_local():
     assert fingerprint.likeness("3::", "3::") == 1 and fingerprint.likeness("3:a:", "48:a:") == 0
 
 
+def plain_fingerprint(text):
+    """Byte by byte, without NumPy."""
+    raw, mask = text.encode(), 0xFFFFFFFF
+
+    def at(k):
+        total, factor = 0, 1
+        for back in range(min(7, k + 1)):
+            total = (total + (raw[k - back] + 1) * factor) & mask
+            factor = factor * 0x9E3779B1 & mask
+        total ^= total >> 15
+        total = total * 0x2C1B3C6D & mask
+        return total ^ total >> 12
+
+    hashes = [at(k) for k in range(len(raw))]
+
+    def signature(block, length):
+        out, start, ends = "", 0, 0
+        for k, h in enumerate(hashes):
+            if h % block == block - 1 and ends < length - 1:
+                out, start, ends = out + fingerprint.ALPHABET[zlib.crc32(raw[start : k + 1]) & 63], k + 1, ends + 1
+        return out + (fingerprint.ALPHABET[zlib.crc32(raw[start:]) & 63] if start < len(raw) else "")
+
+    block = 3
+    while block * 64 < len(raw):
+        block *= 2
+    while block > 3 and sum(h % block == block - 1 for h in hashes) < 31:
+        block //= 2
+    return f"{block}:{signature(block, 64)}:{signature(2 * block, 32)}"
+
+
+def plain_likeness(x, y):
+    """Edit distance by its table, with exchanges at 2."""
+    if x == y:
+        return 1.0
+    (a, *p), (b, *q) = x.split(":"), y.split(":")
+    sizes = {int(a): p[0], 2 * int(a): p[1]}, {int(b): q[0], 2 * int(b): q[1]}
+    best = 0.0
+    for size in sizes[0].keys() & sizes[1].keys():
+        u, v = sizes[0][size], sizes[1][size]
+        run = min(4, len(u), len(v))
+        if not run or not any(u[k : k + run] in v for k in range(len(u) - run + 1)):
+            continue
+        row = list(range(len(v) + 1))
+        for i, c in enumerate(u, 1):
+            new = [i]
+            for j, d in enumerate(v, 1):
+                new.append(row[j - 1] if c == d else 1 + min(row[j], new[-1]))
+            row = new
+        best = max(best, 1 - row[-1] / (len(u) + len(v)))
+    return best
+
+
+def test_fingerprint_against_a_plain_version(texts):
+    rng = random.Random(8)
+    some = [t or "" for t in texts.values()] + [vocabulary_text(rng, n) for n in (1, 40, 900, 2500)] + ["z" * 3000, "ab" * 700]
+    prints = [fingerprint.fingerprint(t) for t in some]
+    assert prints == [plain_fingerprint(t) for t in some]
+    for _ in range(400):
+        x, y = rng.choice(prints), rng.choice(prints)
+        assert fingerprint.likeness(x, y) == pytest.approx(plain_likeness(x, y), abs=1e-12)
+
+
+def test_fingerprints_of_keys_that_are_strings(spark):
+    keys = [f"k{k:03}" for k in range(90)] + ["é", "Z", "~"]
+    rows = [(k, f"text {k} " * (n % 9)) for n, k in enumerate(keys)]
+    got = {r["doc_id"]: r for r in fingerprint.fingerprints(spark.createDataFrame(rows, "doc_id string, text string"), parts=5).collect()}
+    texts, order = dict(rows), sorted(keys, key=str.encode)
+    assert sorted(got) == sorted(keys)
+    for key, after in zip(order, [*order[1:], order[0]], strict=True):
+        assert got[key]["edited_text"] == fingerprint.edited(texts[key], texts[after])
+
+
 def test_rolling_hash_by_slabs(monkeypatch):
     text = vocabulary_text(random.Random(1), 3000)
     whole = fingerprint.fingerprint(text)
