@@ -18,7 +18,7 @@ WORD = re.compile(r"[^\x20\x09-\x0D]+")
 WORD_SQL = r"[^\x20\x09-\x0D]+"
 SPACES = "\x20\x09\x0a\x0b\x0c\x0d"
 #: Rows and bytes of one Arrow batch. Some texts are very long, so bytes bind first.
-BATCH_ROWS, BATCH_BYTES = 2000, 16 << 20
+BATCH_ROWS, BATCH_BYTES = 1000, 8 << 20
 #: Long texts are cut into words piece by piece, so that the list of words stays small.
 PIECE = 1 << 20
 #: Entries of a cache by word before it is emptied.
