@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import re
 import tempfile
 import uuid
@@ -160,6 +161,14 @@ def batches(rows: int = BATCH_ROWS) -> Callable:
     return cut
 
 
+def give_back() -> None:
+    """Give memory that this process has freed back to the system, as Python workers live on."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of glibc
+    if trim:
+        trim(0)
+
+
 def arrow_stage(df: DataFrame, make: Callable[[], Callable], schema: str) -> DataFrame:
     """mapInArrow where make(), once per task, gives the function of one bounded batch.
 
@@ -168,12 +177,15 @@ def arrow_stage(df: DataFrame, make: Callable[[], Callable], schema: str) -> Dat
 
     def run(stream):
         each = make()
+        batch = out = None
         for batch in batches()(stream):
             out = each(batch)
             if isinstance(out, pa.RecordBatch):
                 yield out
             else:
                 yield from out
+        del each, batch, out
+        give_back()
 
     bounded(df.sparkSession)
     return df.mapInArrow(run, schema)
@@ -263,6 +275,8 @@ def bitmap(values: DataFrame, column: str) -> np.ndarray:
     made = sets.mapInArrow(run, "row int, bits binary").toArrow()  # as many bytes as the bitmap at most
     for row, bits in zip(made.column("row").to_pylist(), made.column("bits").to_pylist(), strict=True):
         out[row] = np.frombuffer(bits, np.uint8)
+    del made
+    give_back()
     return out.reshape(-1)
 
 

@@ -9,6 +9,8 @@ import numpy as np
 
 #: Letters of a text that are looked at together, or up to the next space.
 LETTERS = 1 << 18
+#: Values of sparse rows that are multiplied at once, which bounds what is made in between.
+TOGETHER = 1 << 18
 GAP = re.compile(r"[\x20\x09-\x0D]")
 
 
@@ -21,11 +23,22 @@ class Rows:
         self.values = np.concatenate(values).astype(np.float32, copy=False) if values else np.ones(len(self.numbers), np.float32)
         self.of = np.repeat(np.arange(len(self.sizes), dtype=np.int32), self.sizes)
 
+    def _parts(self):
+        return (slice(at, at + TOGETHER) for at in range(0, len(self.numbers), TOGETHER))
+
     def dot(self, weights: np.ndarray) -> np.ndarray:
-        return np.bincount(self.of, self.values * weights[self.numbers], len(self.sizes))
+        out = np.zeros(len(self.sizes))
+        for part in self._parts():
+            of = self.of[part]
+            sums = np.bincount(of - of[0], self.values[part] * weights[self.numbers[part]])
+            out[of[0] : of[0] + len(sums)] += sums
+        return out
 
     def back(self, errors: np.ndarray, width: int) -> np.ndarray:
-        return np.bincount(self.numbers, self.values * errors[self.of], width)
+        out = np.zeros(width)
+        for part in self._parts():
+            out += np.bincount(self.numbers[part], self.values[part] * errors[self.of[part]], width)
+        return out
 
     def take(self, chosen: np.ndarray) -> "Rows":
         starts = np.cumsum(self.sizes) - self.sizes

@@ -30,7 +30,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Codes, arrow_stage, batches, bitmap, bounded, documents, drop, held, narrow, rolled, table
+from .common import Codes, arrow_stage, batches, bitmap, bounded, documents, drop, give_back, held, narrow, rolled, table
 
 WIDTH, PERCENT = 4, 85
 #: Lowest shingles by which classes are grouped, and how many of them must agree.
@@ -96,6 +96,8 @@ def _marks(df: DataFrame, key: str, text: str, width: int) -> DataFrame:
         for k, part in enumerate(sketch.reshape(-1, 1 << BLOCK)):
             if keys is not None and part.any():
                 yield pa.RecordBatch.from_pydict({key: pa.nulls(1, keys.type), "n": pa.nulls(1, pa.int64()), "digest": pa.array([pack.compress(part.tobytes())], pa.binary()), "block": pa.array([k], pa.int32())})
+        del sketch
+        give_back()
 
     bounded(df.sparkSession)
     return narrow(df, key, text).mapInArrow(run, f"`{key}` {kind}, n long, digest binary, block int")
@@ -110,7 +112,7 @@ def _sketch(marks: DataFrame) -> np.ndarray:
         for batch in stream:
             for k, raw in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 part = np.frombuffer(zstandard.decompress(raw.as_py()), np.uint16)
-                sums[k] = part.astype(np.int64) if k not in sums else sums[k] + part
+                sums[k] = part.astype(np.float32) if k not in sums else sums[k] + part  # beyond 2**24, near enough
         for k, part in sums.items():
             steps = np.where(part < 64, part, 64 + 12 * np.log2(np.maximum(part, 64) / 64))
             yield pa.RecordBatch.from_pydict({"block": pa.array([k], pa.int32()), "steps": pa.array([np.minimum(steps, 255).astype(np.uint8).tobytes()], pa.binary())})
@@ -120,6 +122,8 @@ def _sketch(marks: DataFrame) -> np.ndarray:
     made = rows.mapInArrow(run, "block int, steps binary").toArrow()  # as many bytes as there are counters
     for k, steps in zip(made.column("block").to_pylist(), made.column("steps").to_pylist(), strict=True):
         out[k] = np.frombuffer(steps, np.uint8)
+    del made
+    give_back()
     return out.reshape(-1)
 
 
@@ -337,6 +341,7 @@ def join(df: DataFrame, key: str = "doc_id", text: str = "text", width: int = WI
     whole = docs.where(F.col(key).isNotNull())
     heads = bitmap(classes.select(F.xxhash64("doc").alias("h")), "h")
     prefixes = table(_prefixes(whole, key, text, width, percent, _sketch(marks), heads), "prefixes")
+    del heads
     starts = table(_starts(prefixes), "pairs").withColumn("sub", F.lit(0))
     hubs = starts.select("grp", "sub", F.col("grp").alias("doc")).distinct()
     links = _linked(hubs, starts, whole, key, text, width, percent)

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPACES, arrow_stage, count_words, documents, drop, narrow, table
+from .common import SPACES, arrow_stage, count_words, documents, drop, give_back, narrow, table
 from .linear import Rows, fit, gram_numbers, platt, sigmoid
 from .toxicity import _texts, sampled
 
@@ -147,7 +147,10 @@ def _packed(docs: DataFrame, picked: list[tuple], key: str) -> tuple[list[Rows],
     del got
     order = sorted(range(len(y)), key=lambda k: (y[k], zlib.crc32(raw["x"][k]), zlib.crc32(raw["q"][k])))
     rows_of = lambda a, b: Rows([np.frombuffer(raw[a][k], np.int32) for k in order], [np.frombuffer(raw[b][k], np.float32) for k in order])
-    return [rows_of("x", "v"), rows_of("p", "q")], y[order]
+    out = [rows_of("x", "v"), rows_of("p", "q")]
+    del raw
+    give_back()
+    return out, y[order]
 
 
 def _surest(docs: DataFrame, known: DataFrame, model: Model, quota: int, key: str, sure: float = CONFIDENT) -> list[dict]:
@@ -202,7 +205,10 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", key: str =
 
     # the sample is capped class by class; calibration is to the labels' own shares
     stands = (n0 / min(n0, size), n1 / min(n1, size))
-    return cotrain(*views, y.astype(float), more if free else None, stands=stands)
+    made = cotrain(*views, y.astype(float), more if free else None, stands=stands)
+    views.clear()
+    give_back()
+    return made
 
 
 def score(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",), scores: bool = True) -> DataFrame:
