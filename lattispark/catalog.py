@@ -74,6 +74,8 @@ def e_shape(spark, sf_dir):
 
 
 E = f"E AS (SELECT vec_id::BIGINT AS i0, k::BIGINT AS i1, embedding[k + 1]::DOUBLE AS value FROM embeddings, range(0, {WIDTH}) AS t(k))"
+#: Rows of the matrix with a column number from 1 beside each; joined by row, not by cell.
+ROWS = f"R AS (SELECT vec_id, embedding, unnest(range(1, {WIDTH} + 1)) AS k FROM embeddings)"
 V = "V AS (SELECT event_id::BIGINT AS i0, value::DOUBLE AS value FROM events)"
 V4 = "V4 AS (SELECT event_id // 1000 AS i0, event_id // 100 % 10 AS i1, event_id // 10 % 10 AS i2, event_id % 10 AS i3, value::DOUBLE AS value FROM events WHERE event_id < 10000)"
 O = "O AS (SELECT o_orderkey::BIGINT AS i0, o_totalprice::DOUBLE AS value FROM orders)"
@@ -206,14 +208,14 @@ def pointwise_write(spark, sf_dir):
     return C.assign_constant(e(spark, sf_dir), ([1, 4], [1, 9]), e_shape(spark, sf_dir), 0.5)
 
 
-@query(f"WITH {E} SELECT a.i0, a.i1, CASE WHEN a.i0 BETWEEN 20 AND 29 AND a.i1 < 32 THEN b.value ELSE a.value END AS value FROM E AS a LEFT JOIN E AS b ON b.i0 = a.i0 - 20 AND b.i1 = a.i1 + 32")
+@query(f"WITH {ROWS} SELECT a.vec_id::BIGINT AS i0, (k - 1)::BIGINT AS i1, CASE WHEN a.vec_id BETWEEN 20 AND 29 AND k <= 32 THEN b.embedding[k + 32] ELSE a.embedding[k] END::DOUBLE AS value FROM R AS a LEFT JOIN embeddings AS b ON b.vec_id = a.vec_id - 20")
 def array_write(spark, sf_dir):
     """a[20:30, :32] = a[0:10, 32:]"""
     cells, shape = e(spark, sf_dir), e_shape(spark, sf_dir)
     return C.assign(cells, (slice(20, 30), slice(0, 32)), shape, C.select(cells, (slice(0, 10), slice(32, None)), shape))
 
 
-@query(f"WITH {E} SELECT a.i0, a.i1, coalesce(b.value, a.value) AS value FROM E AS a LEFT JOIN (SELECT CASE i0 WHEN 0 THEN 8 ELSE 2 END AS i0, i1, value FROM E WHERE i0 < 2) AS b USING (i0, i1)")
+@query(f"WITH {ROWS} SELECT a.vec_id::BIGINT AS i0, (k - 1)::BIGINT AS i1, coalesce(b.embedding, a.embedding)[k]::DOUBLE AS value FROM R AS a LEFT JOIN embeddings AS b ON b.vec_id = CASE a.vec_id WHEN 8 THEN 0 WHEN 2 THEN 1 END")
 def partial_update(spark, sf_dir):
     """a[[8, 2]] = a[0:2]: single rows of chunks change."""
     cells, shape = e(spark, sf_dir), e_shape(spark, sf_dir)
