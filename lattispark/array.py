@@ -49,9 +49,9 @@ class ChunkArray:
     def shape(self) -> tuple[int, ...]:
         return self.meta.shape
 
-    def _plan(self, box: list[tuple[int, int]]) -> DataFrame:
-        """Numbers of the chunks in a box, dealt out to a bounded number of tasks."""
-        total = prod(b - a for a, b in box)
+    def _plan(self, box: list[tuple[int, int]], total: int | None = None) -> DataFrame:
+        """Numbers of the chunks in a box, or of so many, dealt out to a bounded number of tasks."""
+        total = prod(b - a for a, b in box) if total is None else total
         most = self.maximum or 16 * self.spark.sparkContext.defaultParallelism
         return self.spark.range(0, total, 1, max(1, min(total, max(self.minimum, most))))
 
@@ -71,6 +71,20 @@ class ChunkArray:
 
         return self._plan(box).mapInArrow(run, K.cell_schema(meta))
 
+    def _selected(self, selection: Selection) -> DataFrame:
+        """Cells of the chunks that the selection touches, within its bounds."""
+        store, meta, bounds = self.store, self.meta, selection.bounds()
+        touched = K.Touched(selection, meta.chunks)
+
+        def run(stream):
+            schema = K.arrow_schema(meta)
+            for batch in stream:
+                for n in batch.column(0).to_pylist():
+                    at = touched.chunk(n)
+                    yield from K.cells_of(store, meta, at, touched.within(at, bounds), schema)
+
+        return self._plan([], touched.count).mapInArrow(run, K.cell_schema(meta))
+
     def cells(self) -> DataFrame:
         """Every cell."""
         return self._cells([(0, n) for n in self.meta.shape])
@@ -80,14 +94,15 @@ class ChunkArray:
         return self._cells([(0, n) for n in self.meta.shape], missing=False)
 
     def select(self, index=Ellipsis, mode: str = "plain") -> DataFrame:
-        """a[index] as cells of the result; only chunks and inner chunks within its bounds are read."""
+        """a[index] as cells of the result; only chunks that hold a selected cell are read, and of a shard
+        the inner chunks between the selected cells."""
         selection = self._selection(index, mode)
-        return C.apply(self._cells(selection.bounds()), selection)
+        return C.apply(self._selected(selection), selection)
 
     def read(self, index=Ellipsis, mode: str = "plain") -> np.ndarray:
         """a[index] as a NumPy array on the driver."""
         selection = self._selection(index, mode)
-        got = C.apply(self._cells(selection.bounds()), selection).toArrow()
+        got = C.apply(self._selected(selection), selection).toArrow()
         out = self.meta.full(selection.result_shape)
         values = K.from_arrow(got.column("value").combine_chunks(), self.meta.numpy_dtype)
         if not selection.result_shape:

@@ -96,6 +96,65 @@ def chunk_box(meta: ArrayMeta, bounds: list[tuple[int, int]]) -> list[tuple[int,
     return [(a // c, -(-b // c)) if b > a else (0, 0) for (a, b), c in zip(bounds, meta.chunks, strict=True)]
 
 
+class Touched:
+    """The chunks that hold a selected cell, numbered. Along an axis they come from the selector: all
+    that a range or a short step meets, one for each step that is longer than a chunk, those of a list;
+    of points, the chunks that hold one. Nothing is kept that is longer than the caller's own lists."""
+
+    def __init__(self, selection: Selection, chunks: tuple[int, ...]):
+        self.rank, self.chunks = len(chunks), chunks
+        #: axes that go together, their number of chunks, and what gives the chunk by number
+        self.groups: list[tuple[tuple[int, ...], int, tuple]] = []
+        self.lists: dict[int, np.ndarray] = {}
+        self.points = None
+        for k, (selector, c) in enumerate(zip(selection.axes, chunks, strict=True)):
+            if isinstance(selector, Gather):
+                self.lists[k] = np.unique(np.asarray(selector.at, np.int64))
+                own = np.unique(self.lists[k] // c)
+                self.groups.append(((k,), len(own), ("list", own[:, None])))
+            elif isinstance(selector, Range) and selector.count and abs(selector.step) > c:
+                self.groups.append(((k,), selector.count, ("steps", selector.start, selector.step, c)))
+            elif selector is not None:
+                start, stop = selector.bounds()
+                first, last = (start // c, -(-stop // c)) if stop > start else (0, 0)
+                self.groups.append(((k,), last - first, ("run", first)))
+        if selection.points is not None:
+            axes = tuple(selection.points.axes)
+            self.points = axes, np.stack([np.asarray(a, np.int64).reshape(-1) for a in selection.points.at], axis=1)
+            own = np.unique(self.points[1] // np.array([chunks[k] for k in axes]), axis=0)
+            self.groups.append((axes, len(own), ("list", own)))
+
+    @property
+    def count(self) -> int:
+        return prod(n for _, n, _ in self.groups)
+
+    def chunk(self, number: int) -> tuple[int, ...]:
+        at = [0] * self.rank
+        for axes, n, (kind, *how) in reversed(self.groups):
+            number, k = divmod(number, n)
+            if kind == "list":
+                place = how[0][k].tolist()
+            else:
+                place = [how[0] + k] if kind == "run" else [(how[0] + k * how[1]) // how[2]]
+            for axis, value in zip(axes, place, strict=True):
+                at[axis] = value
+        return tuple(at)
+
+    def within(self, at: tuple[int, ...], bounds: list[tuple[int, int]]) -> list[tuple[int, int]]:
+        """The bounds, drawn in to what lists and points select of a chunk, so that of a shard only the
+        inner chunks between are read."""
+        out = list(bounds)
+        for k, places in self.lists.items():
+            a, b = np.searchsorted(places, [at[k] * self.chunks[k], (at[k] + 1) * self.chunks[k]])
+            out[k] = (int(places[a]), int(places[b - 1]) + 1)
+        if self.points is not None:
+            axes, places = self.points
+            own = places[(places // np.array([self.chunks[k] for k in axes]) == np.array([at[k] for k in axes])).all(axis=1)]
+            for n, k in enumerate(axes):
+                out[k] = (int(own[:, n].min()), int(own[:, n].max()) + 1)
+        return out
+
+
 def numbered(n: int, box: list[tuple[int, int]]) -> tuple[int, ...]:
     """Chunk n of a box of chunks, in row-major order."""
     at = []

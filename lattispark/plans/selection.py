@@ -149,7 +149,7 @@ def normalise(index, shape: tuple[int, ...], mode: str = "plain", strict: bool =
             start, stop, step = entry.indices(size)
             count = len(range(start, stop, step))
             if strict and count > 1 and step != 1:
-                raise DiscontiguousArrayError("Step size greater than 1 is not supported")
+                raise DiscontiguousArrayError(f"strict mode takes slices of step 1 only, not {step}")
             axes.append(Range(start, count, step))
         elif isinstance(entry, (list, np.ndarray, range, tuple)):
             lists[axis] = _list(entry, size, axis)

@@ -257,3 +257,31 @@ def test_filters_choose_chunks(tmp_path):
 def test_arrays_without_cells(spark, tmp_path):
     a = ChunkArray.create(spark, str(tmp_path / "e"), ArrayMeta((0, 4), (2, 2), "int8"))
     assert a.cells().count() == 0 and a.read().shape == (0, 4)
+
+
+@pytest.mark.parametrize(
+    "index,mode",
+    [
+        (([0, 19, 0],), "plain"), ((slice(None, None, 7), slice(1, None, 9)), "plain"), ((slice(18, 2, -6), 3), "plain"), (([1, 18], [2, 13]), "outer"),
+        (([1, 18, 0], [2, 13, 2]), "pointwise"), (([],), "plain"), ((slice(2, 2),), "plain"), ((3, 4), "plain"), ((slice(3, 9), [0, 13]), "plain"),
+    ],
+)
+@pytest.mark.parametrize("sharded", [False, True])
+def test_only_touched_chunks_are_read(spark, tmp_path, index, mode, sharded):
+    """Chunks without a selected cell are spoilt, so that reading one would fail."""
+    inner = ({"name": "bytes", "configuration": {"endian": "little"}}, {"name": "zstd"})
+    codecs = ({"name": "sharding_indexed", "configuration": {"chunk_shape": [2, 1], "codecs": list(inner)}},) if sharded else inner
+    values = np.arange(20 * 14, dtype="int32").reshape(20, 14) + 1
+    array = ChunkArray.create(spark, f"file://{tmp_path}/a", ArrayMeta((20, 14), (4, 3), "int32", 0, codecs))
+    array.assign(Ellipsis, values)
+    where = np.indices(values.shape)
+    take = (lambda x: x[np.ix_(*index)]) if mode == "outer" else (lambda x: x[tuple(np.asarray(i, int) if isinstance(i, list) else i for i in index)])
+    touched = set(zip((take(where[0]) // 4).reshape(-1).tolist(), (take(where[1]) // 3).reshape(-1).tolist(), strict=True))
+    spoilt = 0
+    for i in range(5):
+        for j in range(5):
+            if (i, j) not in touched:
+                (tmp_path / "a" / "c" / str(i) / str(j)).write_bytes(b"junk")
+                spoilt += 1
+    assert spoilt == 25 - len(touched)
+    assert np.array_equal(array.read(index, mode), take(values))
