@@ -151,14 +151,24 @@ def plan(sizes: DataFrame, block: int = BLOCK, depth: int = DEPTH, seed: int = 0
 SLICE = "array<struct<shard:bigint,first:bigint,last:bigint,turn:bigint,place:bigint>>"
 
 
-def _permuted(number: Column, full: Column, name: Column, seed: int) -> Column:
-    """Where a block of a source comes in the source's permuted order. Its full blocks change places;
-    a short one stays the last."""
+def _permutation(full: Column, name: Column, seed: int) -> tuple[Column, Column]:
+    """(step, shift) by which the full blocks of a source change places: b -> (b * step + shift) mod full.
+    A short one stays the last."""
     shift = F.pmod(F.xxhash64(F.lit(seed + 2), name), F.greatest(full, F.lit(1)))
     prime = F.lit(PRIMES[-1]).cast("long")
     for p in reversed(PRIMES[:-1]):
         prime = F.when(full % p != 0, F.lit(p).cast("long")).otherwise(prime)
-    return F.when(number < full, (number * (prime % full) + shift) % full).otherwise(number)
+    return prime % F.greatest(full, F.lit(1)), shift
+
+
+def _moved(number: Column, full: Column, step: Column, shift: Column) -> Column:
+    """Where a block comes in its source's permuted order."""
+    return F.when(number < full, (number * step + shift) % full).otherwise(number)
+
+
+def _permuted(number: Column, full: Column, name: Column, seed: int) -> Column:
+    """_moved() for a single block, with its source's permutation worked out in place."""
+    return _moved(number, full, *_permutation(full, name, seed))
 
 
 def mixed(sizes: DataFrame, block: int = BLOCK, depth: int = DEPTH, seed: int = 0, whole: bool = False) -> DataFrame:
@@ -186,7 +196,11 @@ def mixed(sizes: DataFrame, block: int = BLOCK, depth: int = DEPTH, seed: int =
     within = Window.partitionBy("name", "bucket").orderBy("h", F.col("doc_id").asc_nulls_first(), "size").rowsBetween(Window.unboundedPreceding, -1)
     ranked = rows.withColumn("name", named).join(runs.select(named.alias("name"), "bucket", "base"), ["name", "bucket"])
     ranked = ranked.withColumn("start", F.col("base") + F.coalesce(F.sum("size").over(within), F.lit(0)))
-    goal = table(plan(rows.select("source", "size"), block, depth, seed), "plan").select(named.alias("name"), "source_size", "target", "blocks", "ends")
+    full = F.floor(F.col("source_size") / block).cast("long")
+    step, shift = _permutation(full, named, seed)
+    goal = table(plan(rows.select("source", "size"), block, depth, seed), "plan")
+    goal = goal.select(named.alias("name"), "source_size", "target", "blocks", "ends", F.element_at("ends", -1).alias("quota"), full.alias("full"), step.alias("step"), shift.alias("shift"))
+    goal = table(goal, "sources")  # a row per source, so that nothing of it is worked out per block
     few = goal.count() <= BROADCAST_SOURCES
     joined = ranked.join(F.broadcast(goal) if few else goal, "name")
     turns = F.sequence(F.lit(0).cast("long"), F.lit(int(MOST)).cast("long"))
@@ -194,16 +208,25 @@ def mixed(sizes: DataFrame, block: int = BLOCK, depth: int = DEPTH, seed: int =
     of = lambda word: F.floor(word / block).cast("long")
     numbers = F.array(of(start)) if whole else F.sequence(of(start), of(start + size - 1))
 
+    def located(at: Column) -> Column:
+        """The shard of a place below the quota: how many of the ascending ends it has passed, by bisection."""
+        halves = F.array(*[F.lit(1 << k) for k in reversed(range(depth))]) if depth else F.expr("cast(array() as array<int>)")
+        return F.aggregate(halves, F.lit(0), lambda n, h: n + F.when(F.get("ends", n + h - 1) <= at, h).otherwise(0)).cast("long")
+
     def cut(turn: Column) -> Column:
-        def one(number: Column) -> Column:
-            at = turn * blocks + (number if whole else _permuted(number, F.floor(F.col("source_size") / block).cast("long"), F.col("name"), seed))
-            # ends ascend, so those that are passed number the shard
-            shard = F.aggregate("ends", F.lit(0).cast("long"), lambda n, e: n + F.when(e <= at, 1).otherwise(0))
+        def place(number: Column) -> Column:
+            moved = number if whole else _moved(number, F.col("full"), F.col("step"), F.col("shift"))
+            return F.struct(number.alias("number"), (turn * blocks + moved).alias("at"))
+
+        def one(x: Column) -> Column:
+            number = x["number"]
             first = F.lit(0).cast("long") if whole else F.greatest(number * block - start, F.lit(0).cast("long"))
             last = size if whole else F.least((number + 1) * block - start, size)
-            return F.struct(shard.alias("shard"), first.alias("first"), last.alias("last"), turn.alias("turn"), F.xxhash64(F.lit(seed + 1), "doc_id", turn, first, shard).alias("place"))
+            made = lambda shard: F.struct(shard.alias("shard"), first.alias("first"), last.alias("last"), turn.alias("turn"), F.xxhash64(F.lit(seed + 1), "doc_id", turn, first, shard).alias("place"))
+            return F.get(F.transform(F.array(located(x["at"])), made), F.lit(0))  # binds the shard, which is used twice
 
-        return F.filter(F.transform(numbers, one), lambda x: x["shard"] < (1 << depth))
+        hits = F.filter(F.transform(numbers, place), lambda x: x["at"] < F.col("quota"))
+        return F.when(turn * blocks < F.col("quota"), F.transform(hits, one)).otherwise(F.expr(f"cast(array() as {SLICE})"))
 
     cuts = F.when(size > 0, F.flatten(F.transform(turns, cut))).otherwise(F.expr(f"cast(array() as {SLICE})"))
     out = joined.withColumn("slices", cuts)
