@@ -22,7 +22,7 @@ SHARE, MOST = 1.5, 2.0
 BLOCK, DEPTH = 32, 4
 #: Documents of a part of a source's order, or so; the sums of parts are known before documents are
 #: ranked within them.
-RANKED = 50_000
+RANKED = 10_000
 #: Blocks are permuted by b -> (b * P + c) mod n, where P is the first of these primes that doesn't
 #: divide n. Products of a block's number and P fit 64 bits for up to 2**40 blocks of a source.
 PRIMES = (4_194_301, 4_194_287, 4_194_277)
