@@ -22,9 +22,25 @@ from .common import bounded, new_path, table
 REVISIT_FROM = 1000
 #: Rows of one archive file; the reader takes a file at a time.
 FILE_RECORDS = 1500
+#: Tasks that the rows of a common payload are dealt to, at least.
+SALTS = 16
 CRLF = "\r\n"
 
 
+def _beside(rows: DataFrame, key: Column, found: DataFrame, name: str, *tells: str) -> DataFrame:
+    """rows with the columns of found, which has a row per name, where key equals it; nulls elsewhere.
+
+    Rows are dealt by hash of the columns that tell them apart: those of one key over SALTS copies of
+    its row in found, and those without a key, which meet nothing, over all tasks.
+    """
+    own = F.xxhash64(*tells)
+    met = F.coalesce(F.concat(F.lit("="), key), F.concat(F.lit("-"), own.cast("string")))
+    left = rows.withColumn("_to", met).withColumn("_salt", F.pmod(own, F.lit(SALTS)))
+    salts = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long")))
+    right = found.withColumn("_to", F.concat(F.lit("="), F.col(name))).drop(name).withColumn("_salt", salts)
+    return left.join(right, ["_to", "_salt"], "left").drop("_to", "_salt")
+
+
 def with_verdicts(pages: DataFrame, key: str = "page_id", payload: str = "html", least: int = REVISIT_FROM) -> DataFrame:
     """pages with payload, payload_bytes, payload_digest, and refers_to: of rows with equal
     payloads of at least `least` bytes, all but one of the largest key refer to that key.
@@ -36,7 +52,7 @@ def with_verdicts(pages: DataFrame, key: str = "page_id", payload: str = "html",
     rows = rows.withColumn("payload_bytes", F.octet_length("payload").cast("long")).withColumn("same", F.when(F.col("payload_bytes") >= least, F.sha2("payload", 256)))
     # counted before the shuffle; only payloads that repeat are joined back
     repeated = rows.where(F.col("same").isNotNull()).groupBy("same").agg(F.max(key).alias("latest"), F.count(F.lit(1)).alias("n")).where("n > 1").select("same", "latest")
-    joined = rows.join(repeated, "same", "left")
+    joined = _beside(rows, F.col("same"), repeated, "same", key, "url")
     revisit = F.col("latest").isNotNull() & ~F.col("latest").eqNullSafe(F.col(key))
     return joined.select(key, "url", "payload", "payload_bytes", F.sha1("payload").alias("payload_digest"), F.when(revisit, F.col("latest")).alias("refers_to"))
 
@@ -180,7 +196,7 @@ def resolved(captures: DataFrame) -> DataFrame:
     told = F.regexp_extract("metadata.content", r"payloadLength: (\d+)", 1).cast("long")
     rows = captures.select("page", told.alias("told"), "response.type", "response.payload_digest", "response.payload_bytes", "response.payload_sha1", "response.refers_to_page")
     bodies = rows.where("type = 'response'").select(F.col("page").alias("_page"), F.col("payload_bytes").alias("_bytes"), F.col("payload_sha1").alias("_sha1")).dropDuplicates(["_page"])
-    joined = rows.join(bodies, (F.col("type") == "revisit") & (F.col("refers_to_page") == F.col("_page")), "left")
+    joined = _beside(rows, F.when(F.col("type") == "revisit", F.col("refers_to_page")), bodies, "_page", "page")
     n, digest = F.coalesce("payload_bytes", "_bytes"), F.coalesce("payload_sha1", "_sha1")
     sound = (F.concat(F.lit("sha1:"), digest) == F.col("payload_digest")) & (F.col("told").isNull() | (F.col("told") == n))
     checked = F.when(F.coalesce(sound, F.lit(False)), digest).otherwise(F.raise_error(F.concat(F.lit("no sound payload of "), F.coalesce("page", F.lit("a capture")))))

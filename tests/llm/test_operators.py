@@ -790,3 +790,21 @@ def test_extra_columns_with_clashing_names(spark):
     path, pattern = bpe.vocabulary()
     for out in (bpe.encode(table, path, pattern), mix.mixed(mix.sized(table)), rules.judged(rules.measured(table)), secrets.scan(table), substrings.dedup(table), ngram_join.join(table), fingerprint.fingerprints(table)):
         assert out.count() == 3
+
+
+def test_warc_deals_a_common_payload_and_nulls_over_tasks(spark):
+    rows = [(k, "a" * 70 if k % 2 else None) for k in range(400)]
+    left = spark.createDataFrame(rows, "k long, same string")
+    right = spark.createDataFrame([("a" * 70, 399)], "same string, latest long")
+    met = warc._beside(left, F.col("same"), right, "same", "k")
+    assert sorted(map(tuple, met.select("k", "latest").collect())) == [(k, 399 if k % 2 else None) for k in range(400)]
+    conf = {"spark.sql.adaptive.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.shuffle.partitions": "8"}
+    old = {c: spark.conf.get(c) for c in conf}
+    try:
+        for c, v in conf.items():
+            spark.conf.set(c, v)
+        dealt = warc._beside(left, F.col("same"), right, "same", "k").groupBy(F.spark_partition_id(), F.isnull("same")).count().collect()
+    finally:
+        for c, v in old.items():
+            spark.conf.set(c, v)
+    assert max(r["count"] for r in dealt) < 110
