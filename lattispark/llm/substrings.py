@@ -12,7 +12,8 @@ it can't be broadcast within a proven bound. They are made per reference shard i
 3. The surroundings of each repeated anchor go to its shard, in order of the key. A document is
    first streamed through the automaton of what smaller keys have brought, and then added.
 4. Anchors of more than HOT places would make a shard too large. Their windows are hashed
-   instead, the least key of each is aggregated before the shuffle, and joined back.
+   instead, the least key of each is aggregated before the shuffle, and joined back to places
+   dealt over SALTS copies of it.
 """
 
 from __future__ import annotations
@@ -26,6 +27,8 @@ from .common import Codes, arrow_stage, bitmap, documents, held, rolled, sliding
 
 LENGTH, GRAM = 50, 8
 HOT = 256
+#: Tasks that the places of a common window are dealt to, at least.
+SALTS = 16
 
 
 class Automaton:
@@ -249,8 +252,10 @@ def spans(df: DataFrame, key: str = "doc_id", text: str = "text", length: int =
     if hot.isEmpty():
         return found
     windows = _windows(docs, kind, length, gram, sent)
-    least = windows.groupBy("anchor", "hash").agg(F.min("doc").alias("least"))
-    later = windows.join(least, ["anchor", "hash"]).where("doc > least")
+    least = windows.groupBy("anchor", "hash").agg(F.min("doc").alias("least"), F.max("doc").alias("most")).where("least < most")
+    least = least.select("anchor", "hash", "least", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))).alias("salt"))
+    dealt = windows.withColumn("salt", F.pmod(F.xxhash64("doc", "first"), F.lit(SALTS)))
+    later = dealt.join(least, ["anchor", "hash", "salt"]).where("doc > least")
     return found.unionByName(later.select("doc", "same", "first", (F.col("first") + length).cast("int").alias("last")))
 
 
